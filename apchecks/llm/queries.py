@@ -51,3 +51,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {}
+
+
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import parity_join
+
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import preference as p
+
+    pairs = p.reply_pairs(p.conversations_of(table(spark, sf_dir, "conversations")))
+    return p.format_preferences(pairs).select(
+        "conv_id", "prefix_turns", "prompt", "chosen_text", "rejected_text",
+        p.spans_text("chosen_spans").alias("chosen_mask"), p.spans_text("rejected_spans").alias("rejected_mask"),
+    )
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _oracles() -> dict[str, str]:
+    from . import preference
+
+    return {"op6_preference_format": preference.ORACLE}
+
+
+QUERIES |= {"op5_parity_join": op5_parity_join, "op6_preference_format": op6_preference_format, "op7_source_mix": op7_source_mix}
+ORACLES |= _oracles()
