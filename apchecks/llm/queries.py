@@ -83,3 +83,35 @@ def _oracles() -> dict[str, str]:
 
 QUERIES |= {"op5_parity_join": op5_parity_join, "op6_preference_format": op6_preference_format, "op7_source_mix": op7_source_mix}
 ORACLES |= _oracles()
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audio
+
+    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+
+
+def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import anisotropic
+
+    return anisotropic.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {
+    "op2_toxicity": op2_toxicity,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_audio_features": op9_audio_features,
+    "op10_anisotropic_search": op10_anisotropic_search,
+}
