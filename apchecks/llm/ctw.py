@@ -35,6 +35,9 @@ WORD = 1
 #: The key of the end token among the word hashes.
 END_KEY = np.uint64(0x7FFF_FFFF_FFFF_FFFF)
 
+#: Keys that a counting task gathers before it merges them; it gives them out at half of that.
+MERGE_KEYS = 1 << 20
+
 _LOG_HALF = float(np.log(0.5))
 
 
@@ -120,9 +123,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = s.rows
             held[WORD].append((np.array([END_KEY]), np.array([float(learn[rows].sum())]), np.array([ends])))
             for kind in held:
-                if sum(len(p[0]) for p in held[kind]) > 1 << 21:
+                if sum(len(p[0]) for p in held[kind]) > MERGE_KEYS:
                     held[kind] = [_merge(held[kind])]
-                    if len(held[kind][0][0]) > 1 << 20:
+                    if len(held[kind][0][0]) > MERGE_KEYS // 2:
                         yield flush(kind)
     for kind in held:
         if held[kind]:
@@ -295,25 +298,12 @@ def train(documents: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     return codes, vocabulary, known["n"], known["v"]
 
 
-def _lookup(frame: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lookup(frame: DataFrame) -> Lookup:
     t = frame.toArrow()
     key = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in t.column(0).chunks)]).view(np.uint64)
     value = np.concatenate([np.zeros(0), *(c.to_numpy() for c in t.column(1).chunks)]).astype(np.float64)
     total = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in t.column(2).chunks)])
-    return key, value, total
-
-
-_TABLES: dict[int, Lookup] = {}
-
-
-def _table(broadcast) -> Lookup:
-    """The look-up table of a broadcast, built once in each worker process."""
-    key = id(broadcast.value[0])
-    if key not in _TABLES:
-        while len(_TABLES) >= 2:
-            _TABLES.pop(next(iter(_TABLES)))
-        _TABLES[key] = Lookup(*broadcast.value)
-    return _TABLES[key]
+    return Lookup(key, value, total)
 
 
 _SCORED = (
@@ -322,7 +312,7 @@ _SCORED = (
 )
 
 
-def score(documents: DataFrame, max_broadcast: int = 1 << 20, modulus: int = 10) -> DataFrame:
+def score(documents: DataFrame, max_broadcast: int = 1 << 19, modulus: int = 10) -> DataFrame:
     """Score every text of ``documents`` (doc_id, text) by the tree learnt from those not held out.
 
     Held out are the rows whose crc32(doc_id as text) modulo ``modulus`` is 0. Returns doc_id,
@@ -345,15 +335,15 @@ def score(documents: DataFrame, max_broadcast: int = 1 << 20, modulus: int = 10)
     denominator = n_train + 0.1 * (v_train + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code_table, word_table = _table(tables[WINDOW]), _table(tables[WORD])
+        code_table, word_table = tables[WINDOW].value, tables[WORD].value
         for batch in batches:
             for s in slices(batch.column("text")):
                 window, at = _windows(s)
                 w = words(s)
                 h = word_hashes(s, w)
                 found = code_table.find(window)
-                value = np.where(found >= 0, code_table.values[found], 0.0) if len(code_table.values) else np.zeros(len(window))
-                total = np.concatenate(([0.0], np.cumsum(value)))
+                value = np.where(found >= 0, code_table.values[found], np.float32(0)) if len(code_table.values) else np.zeros(len(window))
+                total = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64)))
                 log_p = total[at[1:]] - total[at[:-1]]
                 # Words, with each row's end token after them.
                 counts = w.counts() + 1
@@ -362,7 +352,7 @@ def score(documents: DataFrame, max_broadcast: int = 1 << 20, modulus: int = 10)
                 key[np.arange(len(h)) + word_row] = h
                 first = np.concatenate(([0], np.cumsum(counts)))
                 spot = word_table.find(key)
-                c = np.where(spot >= 0, word_table.values[spot], 0.0) if len(word_table.values) else np.zeros(len(key))
+                c = np.where(spot >= 0, word_table.values[spot], 0.0).astype(np.float64) if len(word_table.values) else np.zeros(len(key))
                 base = np.where(spot >= 0, np.log10((c + 0.1) / denominator), 0.0)
                 base_sum = np.concatenate(([0.0], np.cumsum(base)))
                 known = np.concatenate(([0], np.cumsum(c > 0)))

@@ -192,20 +192,14 @@ class Lookup:
     probe; the others search the sorted array.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, weight: np.ndarray, bits: int | None = None):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, weight: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        bits = bits or max(4, min(21, int(np.ceil(np.log2(max(len(keys), 1)))) + 1))
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        bits = max(4, int(np.ceil(np.log2(max(len(keys), 1)))) + 1)
         self.shift = np.uint64(64 - bits)
-        heavy_last = np.argsort(weight, kind="stable")
-        slot = self._slot(keys[heavy_last])
-        self.front = np.full(1 << bits, -1, dtype=np.int32)
-        at = np.empty(len(keys), dtype=np.int64)
-        at[order] = np.arange(len(keys))
-        self.front[slot] = at[heavy_last]
-        self.front_key = np.zeros(1 << bits, dtype=np.uint64)
-        used = self.front >= 0
-        self.front_key[used] = self.keys[self.front[used]]
+        heavy_last = np.argsort(weight[order], kind="stable").astype(np.int32)
+        self.front = np.zeros(1 << bits, dtype=np.int32)
+        self.front[self._slot(self.keys[heavy_last])] = heavy_last
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
@@ -214,9 +208,8 @@ class Lookup:
         """Positions in ``self.values``, or -1."""
         if not len(self.keys):
             return np.full(len(keys), -1, dtype=np.int32)
-        slot = self._slot(keys)
-        at = self.front[slot]
-        miss = np.flatnonzero((self.front_key[slot] != keys) | (at < 0))
+        at = self.front[self._slot(keys)]
+        miss = np.flatnonzero(self.keys[at] != keys)
         if len(miss):
             k = keys[miss]
             i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
