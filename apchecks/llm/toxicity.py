@@ -50,6 +50,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(7)
 BEGINNINGS = (0, 4, 5, 6, 7, 8)
 #: At most so many lexicon entries, by evidence.
 LEXICON_SIZE = 4096
+#: A document counts for a word beginning by the distinct words in it that share it, up to so many.
+MOST_WORDS = 4
 _FILTER_BITS = 20
 
 _ENDS_CLAUSE = np.zeros(256, dtype=bool)
@@ -244,6 +246,8 @@ def fold(doc_id: str = "doc_id") -> Column:
 def _feature_counts(labelled: DataFrame) -> DataFrame:
     """For each feature the training documents that hold it, by label and by part (a: folds 0 and 3)."""
 
+    seeds = np.sort(_seed_hashes(INSULTS))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -252,14 +256,30 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
                 w = words(s, NOT_ALNUM)
                 row_of = np.repeat(np.arange(s.rows), w.counts())
                 keys, rows = [], []
-                for _, which, h in _parts(s, w):
+                seed = np.zeros(len(w.starts), dtype=bool)
+                for k, which, h in _parts(s, w):
+                    if k == 0:
+                        i = np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)
+                        seed[which] = seeds[i] == h
+                        new = np.zeros(len(w.starts), dtype=bool)  # the first of each distinct word of a row
+                        new[which[np.unique(mix64(h + row_of[which].astype(np.uint64)), return_index=True)[1]]] = True
+                    else:  # a seed word says nothing about other words with its beginning
+                        keep = new[which] & ~seed[which]
+                        which, h = which[keep], h[keep]
                     keys.append(h)
                     rows.append(row_of[which])
-                v, at = distinct_per_row(np.concatenate(keys), np.concatenate(rows), s.rows)
+                keys, rows = np.concatenate(keys), np.concatenate(rows)
+                v, at = distinct_per_row(keys, rows, s.rows)
                 owner = np.repeat(np.arange(s.rows), np.diff(at)) + s.first
+                # A row counts more for a beginning that several of its words share.
+                order = np.lexsort((keys, rows))
+                edge = np.ones(len(order) + 1, dtype=bool)
+                edge[1:-1] = (keys[order][1:] != keys[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+                weight = np.minimum(np.diff(np.flatnonzero(edge)), MOST_WORDS) if len(order) else np.zeros(0)
                 unique, inverse = np.unique(v, return_inverse=True)
                 one, late = toxic[owner] == 1, part[owner] == 1
-                count = [np.bincount(inverse, m, len(unique)).astype(np.int64) for m in (one, ~one, one & late, ~one & late)]
+                masks = (one, ~one, one & late, ~one & late)
+                count = [np.bincount(inverse, m * weight, len(unique)).astype(np.int64) for m in masks]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(unique.view(np.int64)), *map(pa.array, count)], names=["key", "pos", "neg", "pos_b", "neg_b"]
                 )
@@ -309,21 +329,32 @@ def _apply(docs: DataFrame, model: Model, columns: str) -> DataFrame:
     return docs.mapInArrow(run, f"{columns}, {_SCORES}")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a ridge logistic regression with an intercept, by Newton steps."""
+#: The curve without labels, and what few labels are drawn to: intercept, clause score, log of words.
+DEFAULT_CURVE = np.array([-3.0, 1.0, 0.0])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
+    """Weights of a logistic regression with an intercept, by Newton steps, with a ridge around the default curve."""
     x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+    w = DEFAULT_CURVE.copy()
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((w - DEFAULT_CURVE) ** 2).sum())
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * (w - DEFAULT_CURVE))
+        here, size = loss(w), 1.0
+        while size > 1e-6 and loss(w + size * step) > here:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_pos: int = 4, least_weight: float = 2.5) -> tuple[Model, np.ndarray]:
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_pos: int = 6, least_weight: float = 3.3) -> tuple[Model, np.ndarray]:
     """Learn lexicon and curve from labelled rows whose fold is not 2."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -345,7 +376,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_p
     if len(seen) and 0 < seen["toxic"].sum() < len(seen):
         curve = _logistic(_inputs(seen["clause_score"].to_numpy(), seen["n_words"].to_numpy()), seen["toxic"].to_numpy().astype(float))
     else:
-        curve = np.array([-3.0, 1.0, 0.0])
+        curve = DEFAULT_CURVE
     return Model(_lexicon(counts, totals, False, least_pos, least_weight)), curve
 
 
