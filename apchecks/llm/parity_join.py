@@ -13,7 +13,8 @@ shingles say little and are left out, unless a document has more of them than ``
 all its blocks, so no linked pair is lost.
 
 Documents with the same block meet in a bucket. Equal sets are one class beforehand. In each bucket
-all members are compared with its smallest and its largest id (never all pairs); pairs pass a size
+all members are compared with a few pivots, its smallest and largest id and the least by two hashes (never
+all pairs); pairs pass a size
 test and the Hamming test of a 512-bit sketch, and then their sets are compared exactly. Components
 of these links are formed; only where a bucket still holds several components are members outside the
 component of its smallest id compared with the bucket's members of other components. As every linked
@@ -27,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -35,6 +36,8 @@ from .graph import components
 from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashes, words
 
 SKETCH_LONGS = 8
+#: Members of a bucket with which all others are compared: the smallest and largest id and the least hashes.
+PIVOTS = 4
 #: Words of 64 bits in the filter of candidate ids: a fixed size, whatever the number of candidates.
 FILTER_WORDS = 1 << 18
 
@@ -180,6 +183,12 @@ def _may_link(percent: int) -> Column:
     return sizes & (distance * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
+def _other(rows: DataFrame) -> DataFrame:
+    """The second side of a pair: id, n and sketch under other names."""
+    rows = rows.withColumnsRenamed({"id": "y", "n": "m"})
+    return rows.withColumnsRenamed({f"s{i}": f"t{i}" for i in range(SKETCH_LONGS)})
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups of ``documents`` (doc_id, text) linked at a Jaccard similarity of ``percent`` or more.
 
@@ -201,34 +210,34 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     reps = reps.dropDuplicates(["n", "k1", "k2", "id"])
     reps = materialize(reps.select("id", "n", *sketch, "buckets"), "parity-classes-sketched")
     entries = reps.select("id", F.explode("buckets").alias("bucket")).repartition("bucket")
-    ends = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
-    shared = materialize(entries.join(ends.hint("shuffle_hash"), "bucket"), "parity-shared")
+    pivots = [F.min_by("id", F.xxhash64(F.lit(i), "id")).alias(f"p{i}") for i in range(2, PIVOTS)]
+    ends = entries.groupBy("bucket").agg(F.min("id").alias("p0"), F.max("id").alias("p1"), *pivots).filter("p0 <> p1")
     small = reps.select("id", "n", *sketch)
-    other = small.select(F.col("id").alias("b"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH_LONGS)))
-    star = shared.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(shared.select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    star = star.filter("a < b").distinct()
-    star = star.join(small.withColumnRenamed("id", "a"), "a").join(other, "b").filter(_may_link(percent)).select("a", "b")
+    shared = entries.join(ends.hint("shuffle_hash"), "bucket").join(small, "id")
+    shared = materialize(shared, "parity-shared")
+    names = [f"p{i}" for i in range(PIVOTS)]
+    star = shared.select("id", F.explode(F.array_distinct(F.array(*names))).alias("p")).filter("id <> p")
+    star = star.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    left = small.withColumnRenamed("id", "a")
+    right = _other(small).withColumnRenamed("y", "b")
+    star = star.join(left, "a").join(right, "b").filter(_may_link(percent)).select("a", "b")
     links = _verified(docs, star, k, percent)
     roots = components(links)
-    # Buckets that still hold several components.
-    placed = shared.join(roots, "id", "left").select("bucket", "id", "lo", "hi", F.coalesce("root", "id").alias("root"))
-    placed = materialize(placed, "parity-placed")
-    mixed = placed.groupBy("bucket").agg(
-        F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("id") == F.col("lo"), F.col("root"))).alias("lo_root")
-    )
-    mixed = mixed.filter("r0 <> r1").select("bucket", "lo_root")
-    members = materialize(placed.join(mixed, "bucket").join(small, "id"), "parity-mixed")
+    # Buckets that still hold several components; home is the component of the bucket's smallest id.
+    placed = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    bucket = Window.partitionBy("bucket")
+    home = F.max(F.when(F.col("id") == F.col("p0"), F.col("root"))).over(bucket)
+    several = F.min("root").over(bucket) != F.max("root").over(bucket)
+    members = placed.withColumns({"home": home, "several": several}).filter("several").drop("several")
+    members = materialize(members, "parity-mixed")
     if not members.isEmpty():
-        x = members.filter(F.col("root") != F.col("lo_root"))
-        y = members.select(
-            "bucket", F.col("id").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("m"),
-            *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH_LONGS)),
-        )
+        x = members.filter(F.col("root") != F.col("home"))
+        y = _other(members.select("bucket", "id", F.col("root").alias("y_root"), "n", *sketch))
+        tested = reduce(lambda u, v: u | v, [(F.col("id") == F.col(p)) | (F.col("y") == F.col(p)) for p in names])
         rest = x.join(y, "bucket").filter(
             (F.col("root") != F.col("y_root"))
-            & ((F.col("y_root") == F.col("lo_root")) | (F.col("id") < F.col("y")))
-            & ~F.col("y").isin(F.col("lo"), F.col("hi"))
-            & (F.col("id") != F.col("hi"))
+            & ((F.col("y_root") == F.col("home")) | (F.col("id") < F.col("y")))
+            & ~tested
             & _may_link(percent)
         )
         rest = rest.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
