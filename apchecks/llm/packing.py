@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import GROUP_TEXTS, encoder
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -114,8 +114,8 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 204
 
         def documents_of_task() -> Iterator[tuple[object, bytes]]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
+                for lo in range(0, batch.num_rows, GROUP_TEXTS):
+                    part = batch.slice(lo, GROUP_TEXTS)
                     texts = [t or "" for t in part.column("text").to_pylist()]
                     for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):
                         yield doc_id, ids + end

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from .tokens import encoder
+from .tokens import GROUP_TEXTS, encoder
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -99,7 +99,7 @@ def _filesystem(uri: str):
 
 
 def write_shards(
-    documents: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, level: int = 3
+    documents: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, level: int = 1
 ) -> DataFrame:
     """Encode ``documents`` (doc_id, text) and write them as shards in ascending doc_id order.
 
@@ -125,8 +125,8 @@ def write_shards(
         n_docs = n_tokens = 0
         sink = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, GROUP_TEXTS):
+                part = batch.slice(lo, GROUP_TEXTS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 if sink is None and texts:
                     sink = fs.open_output_stream(draft)
@@ -183,7 +183,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             names=["shard", "position", "doc_id", "start", "ids"],
                         )
 
-    parts = shards.repartition(F.col("shard"))
+    parts = shards.repartition(max(1, manifest.count()), "shard")  # a task for each shard, as near as hashing deals them
     return parts.mapInArrow(run, "shard long, position long, doc_id long, start long, ids binary")
 
 

@@ -10,10 +10,15 @@ from __future__ import annotations
 import os
 import re
 
-#: Cuts kept in a worker's memory; when there are more, it starts anew.
-CACHE_CUTS = 400_000
+import numpy as np
+
+#: Cuts kept in a generation of a worker's memory; it holds two generations, the younger in use.
+CACHE_CUTS = 800_000
 #: Longer cuts are encoded but not kept.
 CACHE_CHARS = 48
+#: Texts whose cuts are looked up together, and cuts encoded together.
+GROUP_TEXTS = 256
+GROUP_CUTS = 4096
 
 _CUT = re.compile(r" (?=\S)")
 _SPACE_RUN = re.compile(r" \s")
@@ -28,37 +33,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _cuts(self, text: str) -> list[str]:
         """All cuts of a text but the first lose the space in front of them."""
         return _CUT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _fresh(self, cuts: list[str]) -> None:
+        """Encode cuts that aren't kept yet, many in one text with a line for each.
+
+        A newline between other characters is one id of its own, also one inside a cut, so a cut ends
+        with the id of the newline that follows as many newlines as it holds.
+        """
+        lines, others = [], []
+        for c in cuts:
+            if c.isprintable() and c and " " not in c:
+                lines.append((c, 0))
+            else:
+                parts = c.split("\n")
+                simple = all(p and p.isprintable() and " " not in p for p in parts)
+                lines.append((c, len(parts) - 1)) if simple else others.append(c)
+        young = self.young
+        for i in range(0, len(lines), GROUP_CUTS):
+            some = lines[i : i + GROUP_CUTS]
+            whole = " " + "\n ".join([c for c, _ in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.newline)).tolist(), 4 * len(ids)]
+            if len(ends) != len(some) + sum(n for _, n in some):
+                others += [c for c, _ in some]
+                continue
+            raw, start, at = ids.tobytes(), 0, -1
+            for c, n in some:
+                at += n + 1
+                young[c] = raw[start : ends[at]]
+                start = ends[at] + 4
+        for i in range(0, len(others), GROUP_CUTS):
+            some = others[i : i + GROUP_CUTS]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)):
+                young[c] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for lo in range(0, len(texts), 64):
-            parts = [self._cuts(t) for t in texts[lo : lo + 64]]
-            later = set()
-            for p in parts:
-                later.update(p[1:])
-            missing = list(later.difference(self.cache))
-            fresh: dict[str, bytes] = {}
-            for i in range(0, len(missing), 4096):
-                some = missing[i : i + 4096]
-                for cut, e in zip(some, self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)):
-                    fresh[cut] = np.array(e.ids, dtype="<u4").tobytes()
-            heads = self.tokenizer.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)
-            if len(self.cache) + len(fresh) > CACHE_CUTS:
-                self.cache = {c: self.cache[c] for c in later.difference(fresh) if c in self.cache}
-            long = {c: v for c, v in fresh.items() if len(c) > CACHE_CHARS}
-            self.cache.update(fresh)
-            get = self.cache.__getitem__
+        for lo in range(0, len(texts), GROUP_TEXTS):
+            young, old = self.young, self.old
+            parts = [self._cuts(t) for t in texts[lo : lo + GROUP_TEXTS]]
+            heads = self.tokenizer.encode_batch_fast([p.pop(0) for p in parts], add_special_tokens=False)
+            later = {c for p in parts for c in p if c not in young}
+            known = {c: old[c] for c in later if c in old}
+            young.update(known)
+            fresh = [c for c in later if c not in known]
+            self._fresh(fresh)
+            get = young.__getitem__
             for p, head in zip(parts, heads):
-                out.append(np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, p[1:])))
-            for c in long:
-                del self.cache[c]
+                out.append(np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, p)))
+            for c in fresh:
+                if len(c) > CACHE_CHARS:
+                    del young[c]
+            if len(young) > CACHE_CUTS:
+                self.old, self.young = young, {}
         return out
 
 
