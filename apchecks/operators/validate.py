@@ -56,27 +56,36 @@ def with_lines(invoices: DataFrame, lines: DataFrame, line_tolerance: int = 1) -
     return invoices.join(line_rollup(lines, line_tolerance), KEYS, "left").fillna(zero)
 
 
+def line_math_outcome() -> Column:
+    return _when((F.col("wrong") > 0, FAIL), ((F.col("checked") > 0) & (F.col("unchecked") == 0), PASS), otherwise=SKIPPED)
+
+
 def check_line_math(facts: DataFrame) -> DataFrame:
-    outcome = _when((F.col("wrong") > 0, FAIL), ((F.col("checked") > 0) & (F.col("unchecked") == 0), PASS), otherwise=SKIPPED)
-    return facts.select(*KEYS, outcome.alias("outcome"), "checked", "unchecked", "wrong")
+    return facts.select(*KEYS, line_math_outcome().alias("outcome"), "checked", "unchecked", "wrong")
 
 
-def check_totals(facts: DataFrame, line_tolerance: int = 1, total_tolerance: int = 1) -> DataFrame:
-    """Lines against the subtotal, and subtotal plus tax against the total; only the latter lets it pass."""
+def totals_rule(line_tolerance: int = 1, total_tolerance: int = 1) -> tuple[Column, Column, Column, Column]:
+    """Outcome, whether lines or total disagree, and the expected total; only a compared total passes."""
     lines_read = F.col("subtotal_minor").isNotNull() & (F.col("n_lines") > 0) & (F.col("amounts_missing") == 0)
     lines_bad = lines_read & (F.abs(F.col("lines_sum_minor") - F.col("subtotal_minor")) > F.col("n_lines") * line_tolerance)
     expected = F.col("subtotal_minor") + F.col("tax_minor")
     compared = expected.isNotNull() & F.col("total_minor").isNotNull()
     total_bad = compared & (F.abs(expected - F.col("total_minor")) > total_tolerance)
     outcome = _when((lines_bad, FAIL), (total_bad, FAIL), (compared, PASS), otherwise=SKIPPED)
+    return outcome, lines_bad, total_bad, expected
+
+
+def check_totals(facts: DataFrame, line_tolerance: int = 1, total_tolerance: int = 1) -> DataFrame:
+    """Lines against the subtotal, and subtotal plus tax against the total."""
+    outcome, lines_bad, total_bad, expected = totals_rule(line_tolerance, total_tolerance)
     return facts.select(
         *KEYS, outcome.alias("outcome"), F.coalesce(lines_bad, F.lit(False)).alias("lines_bad"),
         F.coalesce(total_bad, F.lit(False)).alias("total_bad"), expected.alias("expected_minor"), F.col("total_minor").alias("actual_minor"),
     )
 
 
-def check_tax(facts: DataFrame, per_line: int = 1) -> DataFrame:
-    """Against the supplier's rate, else against the lines' own rates. ``facts`` holds s_tax_rate_bp."""
+def tax_rule(per_line: int = 1) -> tuple[Column, Column, Column, Column]:
+    """Outcome, reason, source and expected tax: by the supplier's rate, else by the lines' own rates."""
     by_supplier = F.col("s_tax_rate_bp").isNotNull()
     by_lines = (F.col("n_lines") > 0) & (F.col("taxes_missing") == 0)
     expected = F.when(by_supplier, tax_of(F.col("subtotal_minor"), F.col("s_tax_rate_bp"))).when(by_lines, F.col("lines_tax_minor"))
@@ -84,14 +93,20 @@ def check_tax(facts: DataFrame, per_line: int = 1) -> DataFrame:
     unread = F.col("subtotal_minor").isNull() | F.col("tax_minor").isNull()
     reason = F.when(unread, "MISSING_AMOUNTS").when(~by_supplier & ~by_lines, "NO_RATE_TO_COMPARE")
     outcome = _when((reason.isNotNull(), SKIPPED), (F.abs(expected - F.col("tax_minor")) <= tolerance, PASS), otherwise=FAIL)
+    source = F.when(reason.isNull(), F.when(by_supplier, "supplier").otherwise("lines"))
+    return outcome, reason, source, F.when(reason.isNull(), expected)
+
+
+def check_tax(facts: DataFrame, per_line: int = 1) -> DataFrame:
+    """The tax amount; ``facts`` holds s_tax_rate_bp."""
+    outcome, reason, source, expected = tax_rule(per_line)
     return facts.select(
-        *KEYS, outcome.alias("outcome"), reason.alias("reason"),
-        F.when(reason.isNull(), F.when(by_supplier, "supplier").otherwise("lines")).alias("source"),
-        F.when(reason.isNull(), expected).alias("expected_minor"), F.col("tax_minor").alias("actual_minor"),
+        *KEYS, outcome.alias("outcome"), reason.alias("reason"), source.alias("source"), expected.alias("expected_minor"), F.col("tax_minor").alias("actual_minor"),
     )
 
 
-def check_dates(invoices: DataFrame, today: str, max_age_days: int = 365, future_days: int = 0) -> DataFrame:
+def dates_rule(today: str, max_age_days: int = 365, future_days: int = 0) -> tuple[Column, Column]:
+    """Outcome, and all reasons."""
     now, day = F.lit(today).cast("date"), F.col("invoice_date")
     reasons = F.array_compact(
         F.array(
@@ -102,22 +117,30 @@ def check_dates(invoices: DataFrame, today: str, max_age_days: int = 365, future
     )
     outcome = _when((day.isNull(), SKIPPED), (F.size(reasons) > 0, FAIL), otherwise=PASS)
     text = F.when(day.isNull(), "NO_INVOICE_DATE").otherwise(F.array_join(reasons, ","))
+    return outcome, text
+
+
+def check_dates(invoices: DataFrame, today: str, max_age_days: int = 365, future_days: int = 0) -> DataFrame:
+    outcome, text = dates_rule(today, max_age_days, future_days)
     return invoices.select(*KEYS, outcome.alias("outcome"), text.alias("reasons"))
 
 
-def check_currency(facts: DataFrame) -> DataFrame:
+def currency_outcome() -> Column:
     """Against the supplier's currency; an unsettled symbol or code counts as printed."""
     printed = F.trim(F.coalesce("printed_currency", F.lit("")))
     symbols = F.create_map(*(F.lit(x) for kv in SYMBOL_CURRENCY.items() for x in kv))
     seen = F.coalesce(F.upper("currency"), symbols[printed], F.when(printed.rlike("^[A-Za-z]{3}$"), F.upper(printed)))
-    outcome = _when(
+    return _when(
         (F.col("s_supplier_id").isNull(), SKIPPED), (seen.isNull(), SKIPPED), (seen == F.upper("s_default_currency"), PASS), otherwise=FAIL
     )
-    return facts.select(*KEYS, outcome.alias("outcome"), F.col("currency").alias("invoice_currency"), F.col("s_default_currency").alias("supplier_currency"))
 
 
-def check_bank(facts: DataFrame) -> DataFrame:
-    """Hash against hash. Nothing printed passes only where that is certain."""
+def check_currency(facts: DataFrame) -> DataFrame:
+    return facts.select(*KEYS, currency_outcome().alias("outcome"), F.col("currency").alias("invoice_currency"), F.col("s_default_currency").alias("supplier_currency"))
+
+
+def bank_rule() -> tuple[Column, Column]:
+    """Outcome and reason, hash against hash. Nothing printed passes only where that is certain."""
     known, mine, theirs = F.col("s_supplier_id").isNotNull(), F.col("bank_account_hash"), F.col("s_bank_account_hash")
     reason = (
         F.when(~known, "UNKNOWN_SUPPLIER")
@@ -125,13 +148,21 @@ def check_bank(facts: DataFrame) -> DataFrame:
         .when(mine.isNotNull() & theirs.isNull(), "NO_BANK_ON_FILE")
     )
     outcome = _when((reason.isNotNull(), SKIPPED), (mine.isNull(), PASS), (mine == theirs, PASS), otherwise=FAIL)
+    return outcome, reason
+
+
+def check_bank(facts: DataFrame) -> DataFrame:
+    outcome, reason = bank_rule()
     return facts.select(*KEYS, outcome.alias("outcome"), reason.alias("reason"))
 
 
-def check_supplier(resolved: DataFrame) -> DataFrame:
+def supplier_outcome() -> Column:
     nothing = (F.trim(F.coalesce("supplier_name", F.lit(""))) == "") & (F.coalesce("supplier_tax_id", F.lit("")) == "")
-    outcome = _when((nothing, SKIPPED), (F.col("s_supplier_id").isNotNull(), PASS), otherwise=FAIL)
-    return resolved.select(*KEYS, outcome.alias("outcome"), F.col("s_supplier_id").alias("supplier_id"), "matched_by", "conflict")
+    return _when((nothing, SKIPPED), (F.col("s_supplier_id").isNotNull(), PASS), otherwise=FAIL)
+
+
+def check_supplier(resolved: DataFrame) -> DataFrame:
+    return resolved.select(*KEYS, supplier_outcome().alias("outcome"), F.col("s_supplier_id").alias("supplier_id"), "matched_by", "conflict")
 
 
 def resolve_suppliers(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -167,3 +198,29 @@ def resolve_suppliers(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
         }
     )
     return out.drop("k_name", "k_tax", "tax_supplier", "name_supplier", "candidate", "s_tax_id")
+
+
+def all_checks(facts: DataFrame, today: str) -> DataFrame:
+    """All seven checks of ``facts`` as one long table (check_code, outcome, reason of a skip).
+
+    ``facts`` stays wide, one row per invoice; the rows of the codes come from one array at the end,
+    so there is no join and no shuffle between the checks.
+    """
+    tax_outcome, tax_reason, _, _ = tax_rule()
+    date_outcome, date_reason = dates_rule(today)
+    bank_outcome, bank_reason = bank_rule()
+    none = F.lit(None).cast("string")
+    rules = {
+        "LINE_MATH_MISMATCH": (line_math_outcome(), none),
+        "TOTAL_MISMATCH": (totals_rule()[0], none),
+        "TAX_MISMATCH": (tax_outcome, tax_reason),
+        "INVALID_DATE": (date_outcome, date_reason),
+        "CURRENCY_MISMATCH": (currency_outcome(), F.when(F.col("s_supplier_id").isNull(), "UNKNOWN_SUPPLIER")),
+        "UNKNOWN_SUPPLIER": (supplier_outcome(), F.lit("NOTHING_TO_MATCH")),
+        "BANK_DETAILS_CHANGED": (bank_outcome, bank_reason),
+    }
+    rows = [
+        F.struct(F.lit(code).alias("check_code"), outcome.alias("outcome"), F.when(outcome == SKIPPED, reason).alias("reason"))
+        for code, (outcome, reason) in rules.items()
+    ]
+    return facts.select(*KEYS, F.explode(F.array(*rows)).alias("c")).select(*KEYS, "c.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks
+from . import checks, decisions, operations_queries
 
-QUERIES = {**checks.QUERIES}
-ORACLES = {**checks.ORACLES}
+QUERIES = {**checks.QUERIES, **decisions.QUERIES, **operations_queries.QUERIES}
+ORACLES = {**checks.ORACLES, **decisions.ORACLES, **operations_queries.ORACLES}
