@@ -15,7 +15,7 @@ all its blocks, so no linked pair is lost.
 Documents with the same block meet in a bucket. Equal sets are one class beforehand. In each bucket
 all members are compared with a few pivots, its smallest and largest id and the least by two hashes (never
 all pairs); pairs pass a size
-test and the Hamming test of a 512-bit sketch, and then their sets are compared exactly. Components
+test and the Hamming test of a 256-bit sketch, and then their sets are compared exactly. Components
 of these links are formed; only where a bucket still holds several components are members outside the
 component of its smallest id compared with the bucket's members of other components. As every linked
 pair shares a bucket, it is then either compared or already inside one component.
@@ -35,7 +35,7 @@ from .common import materialize
 from .graph import components
 from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashes, words
 
-SKETCH_LONGS = 8
+SKETCH_LONGS = 4
 #: Members of a bucket with which all others are compared: the smallest and largest id and the least hashes.
 PIVOTS = 4
 #: Words of 64 bits in the filter of candidate ids: a fixed size, whatever the number of candidates.
@@ -93,7 +93,7 @@ def _buckets(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def _parity(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 512-bit parity sketch of each row, as rows of eight 64-bit words."""
+    """The 256-bit parity sketch of each row, as rows of four 64-bit words."""
     rows = len(at) - 1
     owner = np.repeat(np.arange(rows), np.diff(at))
     bit = mix64(values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
@@ -115,13 +115,14 @@ def _long_list(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _sketched(docs: DataFrame, k: int) -> DataFrame:
+    """Of each document the size of its set, two sums that stand for the set, and its parity sketch."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, v, at in _sets(batch.column("text"), k):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v)))
                 mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(v ^ np.uint64(0x27D4EB2F165667C5)))))
-                key, key_at = _buckets(v, at, percent)
                 parity = _parity(v, at)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -130,13 +131,46 @@ def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                         pa.array((mixed[at[1:]] - mixed[at[:-1]]).view(np.int64)),
                         *(pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(SKETCH_LONGS)),
-                        _long_list(key, key_at),
                     ],
-                    names=["doc_id", "n", "k1", "k2", *(f"s{i}" for i in range(SKETCH_LONGS)), "buckets"],
+                    names=["doc_id", "n", "k1", "k2", *(f"s{i}" for i in range(SKETCH_LONGS))],
                 )
 
     longs = ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
-    return docs.mapInArrow(run, f"doc_id long, n long, k1 long, k2 long, {longs}, buckets array<long>")
+    return docs.mapInArrow(run, f"doc_id long, n long, k1 long, k2 long, {longs}")
+
+
+def _picked(docs: DataFrame, ids: DataFrame):
+    """``docs`` with their id's hash, and a broadcast bit filter of ``ids`` for `_hits`."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+
+
+def _hits(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch that the filter lets through: all wanted ones, and few others."""
+    h = batch.column("h").to_numpy().view(np.uint64)
+    word = (h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)
+    return batch.filter(pa.array(((wanted[word.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
+
+
+def _entries(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+    """Bucket entries (bucket, id) of the class representatives ``ids``.
+
+    A copy that the filter lets through too has the entries of its representative, which is no harm: it
+    is linked like any other document.
+    """
+    rows, wanted = _picked(docs, ids)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = _hits(batch, wanted.value)
+            for first, rows_, v, at in _sets(part.column("text"), k):
+                key, key_at = _buckets(v, at, percent)
+                owner = np.repeat(part.column("doc_id").slice(first, rows_).to_numpy(), np.diff(key_at))
+                for lo in range(0, len(key), 1 << 16):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[lo : lo + (1 << 16)].view(np.int64)), pa.array(owner[lo : lo + (1 << 16)])], names=["bucket", "id"]
+                    )
+
+    return rows.filter("doc_id is not null").mapInArrow(run, "bucket long, id long")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -155,18 +189,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     """Those pairs (a, b) of ids whose shingle sets are similar enough, by the sets themselves."""
     pairs = materialize(pairs, "parity-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+    rows, wanted = _picked(docs, ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            word = (h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)
-            hit = (wanted.value[word.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            part = batch.filter(pa.array(hit.astype(bool)))
-            for first, rows, v, at in _sets(part.column("text"), k):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, rows), _long_list(v, at)], names=["id", "set"])
-
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "id long, set array<long>")
+            part = _hits(batch, wanted.value)
+            for first, n, v, at in _sets(part.column("text"), k):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, n), _long_list(v, at)], names=["id", "set"])
+
+    sets = rows.filter("doc_id is not null").mapInArrow(run, "id long, set array<long>")
     sets = sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(sets, "parity-sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -200,21 +231,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     text. An empty table gives no rows. Other columns are ignored. There is no cap on partners.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(_sketched(docs, k, percent), "parity-sketches")
+    base = materialize(_sketched(docs, k), "parity-sketches")
     sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     real = base.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
+    # A class of equal sets is represented by its smallest id; equal sets have equal sketches.
+    classes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in sketch))
     classes = materialize(classes, "parity-classes")
-    # A class keeps the sketch of its smallest id.
-    reps = real.withColumnRenamed("doc_id", "id").join(classes.hint("shuffle_hash"), ["n", "k1", "k2", "id"], "left_semi")
-    reps = reps.dropDuplicates(["n", "k1", "k2", "id"])
-    reps = materialize(reps.select("id", "n", *sketch, "buckets"), "parity-classes-sketched")
-    entries = reps.select("id", F.explode("buckets").alias("bucket")).repartition("bucket")
+    entries = _entries(docs, classes.select("id"), k, percent).repartition("bucket")
     pivots = [F.min_by("id", F.xxhash64(F.lit(i), "id")).alias(f"p{i}") for i in range(2, PIVOTS)]
     ends = entries.groupBy("bucket").agg(F.min("id").alias("p0"), F.max("id").alias("p1"), *pivots).filter("p0 <> p1")
-    small = reps.select("id", "n", *sketch)
-    shared = entries.join(ends.hint("shuffle_hash"), "bucket").join(small, "id")
-    shared = materialize(shared, "parity-shared")
+    shared = materialize(entries.join(ends.hint("shuffle_hash"), "bucket"), "parity-shared")
+    small = classes.select("id", "n", *sketch)
     names = [f"p{i}" for i in range(PIVOTS)]
     star = shared.select("id", F.explode(F.array_distinct(F.array(*names))).alias("p")).filter("id <> p")
     star = star.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
@@ -224,20 +251,18 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = _verified(docs, star, k, percent)
     roots = components(links)
     # Buckets that still hold several components; home is the component of the bucket's smallest id.
-    placed = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = shared.select("bucket", "id", "p0").join(small, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     bucket = Window.partitionBy("bucket")
     home = F.max(F.when(F.col("id") == F.col("p0"), F.col("root"))).over(bucket)
     several = F.min("root").over(bucket) != F.max("root").over(bucket)
-    members = placed.withColumns({"home": home, "several": several}).filter("several").drop("several")
+    members = placed.withColumns({"home": home, "several": several}).filter("several").drop("several", "p0")
     members = materialize(members, "parity-mixed")
     if not members.isEmpty():
         x = members.filter(F.col("root") != F.col("home"))
         y = _other(members.select("bucket", "id", F.col("root").alias("y_root"), "n", *sketch))
-        tested = reduce(lambda u, v: u | v, [(F.col("id") == F.col(p)) | (F.col("y") == F.col(p)) for p in names])
         rest = x.join(y, "bucket").filter(
             (F.col("root") != F.col("y_root"))
             & ((F.col("y_root") == F.col("home")) | (F.col("id") < F.col("y")))
-            & ~tested
             & _may_link(percent)
         )
         rest = rest.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()

@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Cuts kept in a generation of a worker's memory; it holds two generations, the younger in use.
-CACHE_CUTS = 800_000
+CACHE_CUTS = 600_000
 #: Longer cuts are encoded but not kept.
 CACHE_CHARS = 48
 #: Texts whose cuts are looked up together, and cuts encoded together.

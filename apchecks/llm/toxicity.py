@@ -303,7 +303,7 @@ def _lexicon(counts: DataFrame, totals: dict, early: bool, least_pos: int, least
     seen = {r["key"] & (2**64 - 1): (r["p"], r["n"]) for r in seed_rows}
     for key in seeds.tolist():
         p, n = seen.get(key, (0, 0))
-        w = float(np.log((p + 2.5) / (n_pos + 5.0)) - np.log((n + 0.5) / (n_neg + 5.0)))
+        w = float(np.log((p + 2.5) / (n_pos + 5.0)) - np.log((n + 0.5) / (n_neg + 100.0)))
         if w >= least_weight:
             entries[key] = max(entries.get(key, 0.0), w)
     return Lexicon(np.array(list(entries), dtype=np.uint64), np.array(list(entries.values()), dtype=np.float64))
