@@ -33,14 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import components
+from .idfilter import hits, picked
 from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashes, words
 
 SKETCH_LONGS = 4
 #: Members of a bucket with which all others are compared: the smallest and largest id and the least hashes.
 PIVOTS = 4
-#: Words of 64 bits in the filter of candidate ids: a fixed size, whatever the number of candidates.
-FILTER_WORDS = 1 << 18
-
 
 def band_edges(largest: int, percent: int) -> np.ndarray:
     """First sizes of the bands: linked sizes lie in the same band or in neighbours."""
@@ -139,29 +137,17 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, n long, k1 long, k2 long, {longs}")
 
 
-def _picked(docs: DataFrame, ids: DataFrame):
-    """``docs`` with their id's hash, and a broadcast bit filter of ``ids`` for `_hits`."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
-
-
-def _hits(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
-    """The rows of a batch that the filter lets through: all wanted ones, and few others."""
-    h = batch.column("h").to_numpy().view(np.uint64)
-    word = (h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)
-    return batch.filter(pa.array(((wanted[word.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)))
-
-
 def _entries(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
     """Bucket entries (bucket, id) of the class representatives ``ids``.
 
     A copy that the filter lets through too has the entries of its representative, which is no harm: it
     is linked like any other document.
     """
-    rows, wanted = _picked(docs, ids)
+    rows, wanted = picked(docs, ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = _hits(batch, wanted.value)
+            part = hits(batch, wanted.value)
             for first, rows_, v, at in _sets(part.column("text"), k):
                 key, key_at = _buckets(v, at, percent)
                 owner = np.repeat(part.column("doc_id").slice(first, rows_).to_numpy(), np.diff(key_at))
@@ -173,27 +159,15 @@ def _entries(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame
     return rows.filter("doc_id is not null").mapInArrow(run, "bucket long, id long")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set over hashed ids, of ``FILTER_WORDS`` words."""
-    h = F.xxhash64("id")
-    word = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
-    bits = ids.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))")).alias("bits"))
-    out = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    table = bits.toArrow()  # at most FILTER_WORDS rows
-    if table.num_rows:
-        out[table.column("w").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of ids whose shingle sets are similar enough, by the sets themselves."""
     pairs = materialize(pairs, "parity-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows, wanted = _picked(docs, ids)
+    rows, wanted = picked(docs, ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = _hits(batch, wanted.value)
+            part = hits(batch, wanted.value)
             for first, n, v, at in _sets(part.column("text"), k):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, n), _long_list(v, at)], names=["id", "set"])
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .idfilter import hits, picked
 from .textops import (
     NOT_ALNUM,
     Slice,
@@ -359,9 +361,14 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_p
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 2)
-    labelled = docs.join(marks, "doc_id").withColumn("fold", fold().cast("int"))
-    from .common import materialize
+    rows, wanted = picked(docs, marks.select(F.col("doc_id").alias("id")))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield hits(batch, wanted.value).select(["doc_id", "text"])
+
+    some = rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+    labelled = some.join(marks, "doc_id").withColumn("fold", fold().cast("int"))
     labelled = materialize(labelled.select("doc_id", "text", "toxic", "fold"), "toxicity-labelled")
     counts = materialize(_feature_counts(labelled), "toxicity-features")
     is_pos = F.col("toxic") == 1
