@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, decisions, operations_queries
+from . import checks, decisions, extra, operations_queries
 
-QUERIES = {**checks.QUERIES, **decisions.QUERIES, **operations_queries.QUERIES}
-ORACLES = {**checks.ORACLES, **decisions.ORACLES, **operations_queries.ORACLES}
+QUERIES = {**checks.QUERIES, **decisions.QUERIES, **operations_queries.QUERIES, **extra.QUERIES}
+ORACLES = {**checks.ORACLES, **decisions.ORACLES, **operations_queries.ORACLES, **extra.ORACLES}
