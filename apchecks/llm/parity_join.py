@@ -181,11 +181,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return both.filter(100 * common >= percent * union).select("a", "b")
 
 
+def _distance() -> Column:
+    """Hamming distance of the sketches s0.. and t0.. of a pair."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH_LONGS)])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (id, y) as distinct (a, b) with a < b."""
+    return pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+
+
+def _same_pair() -> Column:
+    return (F.least("id", "y") == F.col("a")) & (F.greatest("id", "y") == F.col("b"))
+
+
 def _may_link(percent: int) -> Column:
     """Size and Hamming tests between columns n, s0.. and m, t0.. of a pair."""
-    distance = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH_LONGS)])
     sizes = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return sizes & (distance * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    return sizes & (_distance() * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
 def _other(rows: DataFrame) -> DataFrame:
@@ -217,12 +230,19 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     shared = materialize(entries.join(ends.hint("shuffle_hash"), "bucket"), "parity-shared")
     small = classes.select("id", "n", *sketch)
     names = [f"p{i}" for i in range(PIVOTS)]
-    star = shared.select("id", F.explode(F.array_distinct(F.array(*names))).alias("p")).filter("id <> p")
-    star = star.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    left = small.withColumnRenamed("id", "a")
-    right = _other(small).withColumnRenamed("y", "b")
-    star = star.join(left, "a").join(right, "b").filter(_may_link(percent)).select("a", "b")
-    links = _verified(docs, star, k, percent)
+    star = shared.select("id", F.explode(F.array_distinct(F.array(*names))).alias("y")).filter("id <> y").distinct()
+    star = star.join(small, "id").join(_other(small), "y").filter(_may_link(percent))
+    star = materialize(star.select("id", "y", _distance().alias("distance")), "parity-star")
+    # First each document with its most likely pivot; the other pivots only where that left them apart.
+    order = Window.partitionBy("id").orderBy("distance", "y")
+    first = star.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    links = _verified(docs, _ordered(first), k, percent)
+    roots = components(links)
+    left = star.join(roots.withColumnRenamed("root", "x_root"), "id", "left")
+    left = left.join(roots.select(F.col("id").alias("y"), F.col("root").alias("y_root")), "y", "left")
+    apart = left.filter(F.coalesce("x_root", "id") != F.coalesce("y_root", "y"))
+    again = _verified(docs, _ordered(apart.join(_ordered(first), _same_pair(), "left_anti")), k, percent)
+    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(again)
     roots = components(links)
     # Buckets that still hold several components; home is the component of the bucket's smallest id.
     placed = shared.select("bucket", "id", "p0").join(small, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -239,8 +259,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
             & ((F.col("y_root") == F.col("home")) | (F.col("id") < F.col("y")))
             & _may_link(percent)
         )
-        rest = rest.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
-        more = _verified(docs, rest, k, percent)
+        more = _verified(docs, _ordered(rest), k, percent)
         old = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
         roots = components(old.unionByName(more))
     group = classes.join(roots, "id", "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("component"))
