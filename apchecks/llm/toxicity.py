@@ -368,7 +368,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_p
             yield hits(batch, wanted.value).select(["doc_id", "text"])
 
     some = rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, text string")
-    labelled = some.join(marks, "doc_id").withColumn("fold", fold().cast("int"))
+    labelled = some.join(marks.hint("merge"), "doc_id").withColumn("fold", fold().cast("int"))
     labelled = materialize(labelled.select("doc_id", "text", "toxic", "fold"), "toxicity-labelled")
     counts = materialize(_feature_counts(labelled), "toxicity-features")
     is_pos = F.col("toxic") == 1
