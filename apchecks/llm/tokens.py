@@ -34,6 +34,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        ids = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.marks = {m: np.array(i, dtype="<u4").tobytes() for m, i in ids.items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -84,7 +86,10 @@ class Encoder:
             known = {c: old[c] for c in later if c in old}
             young.update(known)
             fresh = [c for c in later if c not in known]
-            self._fresh(fresh)
+            # A full stop or comma after a letter or digit is a piece of its own.
+            told = {c: young[c[:-1]] + self.marks[c[-1]] for c in fresh if c[-1:] in self.marks and c[:-1] in young and c[-2:-1].isalnum()}
+            young.update(told)
+            self._fresh([c for c in fresh if c not in told])
             get = young.__getitem__
             for p, head in zip(parts, heads):
                 out.append(np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, p)))
