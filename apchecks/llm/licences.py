@@ -8,9 +8,10 @@ are chained in increasing order in both, with bounded gaps, and a chain that cov
 is a labelled span. Short names of licences ("base" phrases) are templates as well and are always found
 whole, wherever they stand.
 
-Only words that some template knows can take part. They are found for whole Arrow batches at once by
+Only words that some template knows can be matched. They are found for whole Arrow batches at once by
 hash, and only runs of at least ``min_run`` such words are streamed; the words themselves are compared
-there, so a hash never decides.
+there, so a hash never decides. The anchors of all runs of a document are chained together, at their
+places in the document, so that a gap counts unknown words like any others.
 """
 
 from __future__ import annotations
@@ -183,25 +184,25 @@ class Scanner:
             state, length = stats[i]
             if length >= self.min_match and stats[i + 1][1] <= length:
                 piece = tokens[i - length + 1 : i + 1]
-                # Every template that holds the factor gets the anchor, at its first place there.
+                # Every template that holds the factor gets the anchor, at each of its places there.
                 for t, s in enumerate(self.sequences):
-                    at = next((j for j in range(len(s) - length + 1) if s[j : j + length] == piece), None)
-                    if at is not None:
-                        out.append((t, at, i - length + 1, length))
+                    out += [(t, j, i - length + 1, length) for j in range(len(s) - length + 1) if s[j : j + length] == piece]
         return out
 
-    def spans(self, tokens: list[int]) -> list[tuple[str, int, int, float]]:
-        """Covered template spans: label, first and last place in the file, share covered."""
+    def spans(self, anchors: Iterable[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """Covered template spans of a file's anchors: label, first and last place in the file, share covered."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for t, at, place, length in self.anchors(tokens):
+        for t, at, place, length in anchors:
             by_template.setdefault(t, []).append((place, at, length))
         found = []
         for t, marks in by_template.items():
             marks.sort()
             chains: list[list[int]] = []  # first, last, template end, covered
+            near: list[list[int]] = []  # those that a later anchor can still reach
             for place, at, length in marks:
                 best = None
-                for chain in chains:
+                near = [chain for chain in near if place - chain[1] - 1 <= self.max_gap]
+                for chain in near:
                     gap_file, gap_template = place - chain[1] - 1, at - chain[2] - 1
                     if 0 <= gap_file <= self.max_gap and 0 <= gap_template <= self.max_gap and (best is None or chain[3] > best[3]):
                         best = chain
@@ -209,6 +210,7 @@ class Scanner:
                     best[1], best[2], best[3] = place + length - 1, at + length - 1, best[3] + length
                 else:
                     chains.append([place, place + length - 1, at + length - 1, length])
+                    near.append(chains[-1])
             for first, last, _, covered in chains:
                 if covered >= self.min_cover * self.sizes[t]:
                     found.append((self.labels[t], first, last, covered / self.sizes[t]))
@@ -261,13 +263,14 @@ def scan(documents: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                             sc.vocabulary.get(s.data[w.starts[k] : w.ends[k]].tobytes(), -1) for k in range(first, first + int(n))
                         ]
                         shift = first - int(w.first[row])
-                        base, spans = results.setdefault(row, ([], []))
+                        base, anchors = results.setdefault(row, ([], []))
                         base += [(i + shift, label) for i, label in sc.base_places(tokens)]
-                        spans += [(label, a + shift, z + shift, c) for label, a, z, c in sc.spans(tokens)]
+                        anchors += [(t, at, place + shift, length) for t, at, place, length in sc.anchors(tokens)]
                 rows = s.rows
                 columns: list[list] = [[] for _ in range(7)]
                 for r in range(rows):
-                    base, spans = results.get(r, ((), ()))
+                    base, anchors = results.get(r, ((), ()))
+                    spans = sc.spans(anchors)
                     base_labels = sorted({label for _, label in base})
                     labels = sorted({*base_labels, *(x[0] for x in spans)})
                     score = 1.0 if base else min(1.0, max((x[3] for x in spans), default=0.0))

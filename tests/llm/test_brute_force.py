@@ -225,6 +225,24 @@ def test_licence_places(spark):
     assert got[5001]["labels"] == "bsd" and got[5001]["score"] == pytest.approx(1.0) and got[5000]["n_base"] == 2
 
 
+def test_licence_chains_cross_unknown_words(spark):
+    def lines(text, width, mark):
+        w = text.split()
+        return "\n".join(f"{mark} {' '.join(w[i : i + width])}" for i in range(0, len(w), width))
+
+    mit, apache = licences.TEMPLATES["mit"][0], licences.TEMPLATES["apache-2"][0]
+    half = len(mit.split()) // 2
+    rows = [
+        (0, " ".join([*mit.split()[:half], "zzyzx", *mit.split()[half + 1 :]])),
+        (1, lines(mit, 12, "dnl")), (2, lines(mit, 12, "rem")), (3, lines(apache, 4, "dnl")),
+        (4, " ".join([*mit.split()[:half], *["zzyzx"] * 4, *mit.split()[half:]])),
+    ]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["mit", "mit", "mit", "apache-2", ""]  # a gap has at most three words
+    assert got[0]["score"] > 0.95 and all(got[i]["score"] == 1.0 for i in (1, 2, 3))
+    assert [(s["first"], s["last"]) for s in got[1]["spans"]] == [(1, got[1]["n_words"] - 1)]
+
+
 def test_audio_round_trip_and_resampling(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal(1000).astype(np.float32)
