@@ -8,7 +8,12 @@ the insult transducer scores what reaches it. They are composed into one table,
 clauses that hold an insult or a threat; a document's score comes from its matched clauses.
 
 The insult lexicon holds words and word beginnings, learnt from labelled rows: counts of the documents
-of either label that hold them, over all labelled training rows, grouped by Spark. Two parameters of a
+of either label that hold them, over all labelled training rows, grouped by Spark. What enters it is
+decided by two fixed bars, whatever the number of labels: ``least_pos`` toxic counts, and a log ratio of
+``least_weight``. Together they bound the ratio from below: from 6 counts on its standard error is 1.47
+at most, so at 3.3 or more it is above 0 by two standard errors. Every entry that passes is used: the
+``max_broadcast`` with the best evidence from a broadcast table, the others by a shuffled join of the
+words that a bit filter lets through. Two parameters of a
 logistic curve turn clause scores into probabilities; they are fitted on documents that the lexicon used
 there has not seen, at most ``fit_rows`` of them.
 """
@@ -50,11 +55,13 @@ INSULTS = (
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(7)
 #: Lengths in bytes of the word beginnings that may enter the lexicon; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6, 7, 8)
-#: At most so many lexicon entries, by evidence.
-LEXICON_SIZE = 4096
+#: So many lexicon entries are broadcast, by evidence; the others are joined.
+MAX_BROADCAST = 1 << 19
 #: A document counts for a word beginning by the distinct words in it that share it, up to so many.
 MOST_WORDS = 4
 _FILTER_BITS = 20
+#: Bits of the filter of the entries that are joined, as a power of two; a fixed size.
+_REST_BITS = 24
 
 _ENDS_CLAUSE = np.zeros(256, dtype=bool)
 _ENDS_CLAUSE[[ord(c) for c in ".!?;:\n"]] = True
@@ -206,14 +213,16 @@ class Model:
         self.class_keys = np.array(sorted(classes), dtype=np.uint64)
         self.class_of = np.array([classes[int(k)] for k in self.class_keys], dtype=np.int8)
 
-    def clause_scores(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each row: summed clause scores, matched clauses, and words."""
+    def clause_scores(self, s: Slice, more: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: summed clause scores, matched clauses, and words; ``more`` are entries beside the lexicon's."""
         w = words(s, NOT_ALNUM)
         rows, n = s.rows, len(w.starts)
         score, matched = np.zeros(rows), np.zeros(rows, dtype=np.int64)
         if not n:
             return score, matched, w.counts()
         weight = self.lexicon.word_weights(s, w)
+        if more is not None:
+            weight = np.maximum(weight, more.word_weights(s, w))
         h = _class_hash(s, w)
         i = np.minimum(np.searchsorted(self.class_keys, h), len(self.class_keys) - 1)
         symbol = np.where(self.class_keys[i] == h, self.class_of[i], OTHER)
@@ -290,45 +299,118 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "pos_b", "neg_b")))
 
 
-def _lexicon(counts: DataFrame, totals: dict, early: bool, least_pos: int, least_weight: float) -> Lexicon:
-    """The entries with the best evidence; seeds have pseudo-counts and stay unless data contradict them."""
+def _lexicon(
+    counts: DataFrame, totals: dict, early: bool, least_pos: int, least_weight: float, max_broadcast: int
+) -> tuple[Lexicon, DataFrame | None]:
+    """The entries with the best evidence, and the others (key, w) if there are more than ``max_broadcast``.
+
+    Seeds have pseudo-counts and stay unless data contradict them.
+    """
     pos, neg = (F.col("pos") - F.col("pos_b"), F.col("neg") - F.col("neg_b")) if early else (F.col("pos"), F.col("neg"))
     n_pos = totals["pos"] - totals["pos_b"] if early else totals["pos"]
     n_neg = totals["neg"] - totals["neg_b"] if early else totals["neg"]
-    least = max(least_pos, n_pos // 100)
     weight = F.log((pos + 0.5) / (n_pos + 1.0)) - F.log((neg + 0.5) / (n_neg + 1.0))
     seeds = _seed_hashes(INSULTS)
     seed_rows = counts.filter(F.col("key").isin(seeds.view(np.int64).tolist())).select("key", pos.alias("p"), neg.alias("n")).collect()
-    found = counts.filter((pos >= least) & (weight >= least_weight)).select("key", weight.alias("w"), (weight * F.sqrt(pos)).alias("e"))
-    top = found.orderBy(F.desc("e"), "key").limit(LEXICON_SIZE).collect()
-    entries = {r["key"] & (2**64 - 1): r["w"] for r in top}
+    level = F.floor(F.log2(F.greatest(weight * F.sqrt(pos), F.lit(1e-9))) * 8).cast("int")
+    found = counts.filter((pos >= least_pos) & (weight >= least_weight)).select("key", weight.alias("w"), level.alias("level"))
+    kept, lowest = 0, None
+    sizes = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    for k in sorted(sizes, reverse=True):
+        if kept + sizes[k] > max_broadcast:
+            break
+        kept, lowest = kept + sizes[k], k
+    whole = kept == sum(sizes.values())
+    best = found if whole else found.filter(F.lit(False) if lowest is None else F.col("level") >= lowest)
+    rest = None if whole else materialize(found.filter(F.lit(True) if lowest is None else F.col("level") < lowest).select("key", "w"), "toxicity-rest")
+    top = best.select("key", "w").toArrow()  # at most max_broadcast rows
+    keys = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in top.column(0).chunks)]).view(np.uint64)
+    weights = np.concatenate([np.zeros(0), *(c.to_numpy() for c in top.column(1).chunks)])
+    at = {int(keys[i]): i for i in np.flatnonzero(np.isin(keys, seeds))}
     seen = {r["key"] & (2**64 - 1): (r["p"], r["n"]) for r in seed_rows}
+    more: dict[int, float] = {}
     for key in seeds.tolist():
         p, n = seen.get(key, (0, 0))
         w = float(np.log((p + 2.5) / (n_pos + 5.0)) - np.log((n + 0.5) / (n_neg + 100.0)))
         if w >= least_weight:
-            entries[key] = max(entries.get(key, 0.0), w)
-    return Lexicon(np.array(list(entries), dtype=np.uint64), np.array(list(entries.values()), dtype=np.float64))
+            if key in at:
+                weights[at[key]] = max(weights[at[key]], w)
+            else:
+                more[key] = w
+    keys = np.concatenate((keys, np.array(list(more), dtype=np.uint64)))
+    return Lexicon(keys, np.concatenate((weights, np.array(list(more.values()), dtype=np.float64)))), rest
 
 
 _SCORES = "clause_score double, clauses long, n_words long"
 
 
-def _apply(docs: DataFrame, model: Model, columns: str) -> DataFrame:
+def _rest_filter(rest: DataFrame) -> np.ndarray:
+    """A bit set over the keys of ``rest``, of a fixed size."""
+    place = F.shiftrightunsigned("key", 64 - _REST_BITS)
+    bits = rest.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _REST_BITS}) & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (_REST_BITS - 6), dtype=np.uint64)
+    table = bits.toArrow()  # at most as many rows as the filter has words
+    if table.num_rows:
+        out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _with_rest(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """``docs`` with the entries of ``rest`` that their texts hold, as arrays ``more_keys`` and ``more_weights``.
+
+    Texts are told apart by two 64-bit hashes; texts that hold no entry get null.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_rest_filter(rest))
+    named = docs.withColumns({"text_1": F.xxhash64("text"), "text_2": F.xxhash64(F.lit(1), "text")})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text"), limit=1 << 22):
+                w = words(s, NOT_ALNUM)
+                row_of = np.repeat(np.arange(s.rows), w.counts())
+                keys, rows = [], []
+                for _, which, h in _parts(s, w):
+                    place = h >> np.uint64(64 - _REST_BITS)
+                    hit = (bits.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    keys.append(h[hit])
+                    rows.append(row_of[which[hit]])
+                v, at = distinct_per_row(np.concatenate(keys), np.concatenate(rows), s.rows)
+                owner = pa.array(np.repeat(np.arange(s.rows), np.diff(at)) + s.first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("text_1").take(owner), batch.column("text_2").take(owner), pa.array(v.view(np.int64))],
+                    names=["text_1", "text_2", "key"],
+                )
+
+    held = named.select("text", "text_1", "text_2").mapInArrow(run, "text_1 long, text_2 long, key long").distinct()
+    of_text = held.join(rest.hint("merge"), "key").groupBy("text_1", "text_2").agg(F.collect_list(F.struct("key", "w")).alias("more"))
+    of_text = of_text.select("text_1", "text_2", F.col("more.key").alias("more_keys"), F.col("more.w").alias("more_weights"))
+    return named.join(of_text.hint("merge"), ["text_1", "text_2"], "left").drop("text_1", "text_2")
+
+
+def _apply(docs: DataFrame, model: Model, rest: DataFrame | None, columns: str) -> DataFrame:
     """Append the clause columns to ``docs`` (whose text column is "text"), row by row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def more(part: pa.RecordBatch) -> Lexicon | None:
+        if rest_is_none:
+            return None
+        keys, weights = (part.column(c).flatten().to_numpy() for c in ("more_keys", "more_weights"))
+        keys, first = np.unique(keys.view(np.uint64), return_index=True)
+        return Lexicon(keys, weights[first])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [sent.value.clause_scores(s) for s in slices(batch.column("text"))]
+            parts = [sent.value.clause_scores(s, more(batch.slice(s.first, s.rows))) for s in slices(batch.column("text"))]
             if parts:
                 score, matched, n = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(score), pa.array(matched.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=[*batch.schema.names, "clause_score", "clauses", "n_words"],
+                    [*(batch.column(c) for c in names), pa.array(score), pa.array(matched.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    names=[*names, "clause_score", "clauses", "n_words"],
                 )
 
-    return docs.mapInArrow(run, f"{columns}, {_SCORES}")
+    rest_is_none = rest is None
+    return (docs if rest_is_none else _with_rest(docs, rest)).mapInArrow(run, f"{columns}, {_SCORES}")
 
 
 #: The curve without labels, and what few labels are drawn to: intercept, clause score, log of words.
@@ -356,8 +438,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_pos: int = 6, least_weight: float = 3.3) -> tuple[Model, np.ndarray]:
-    """Learn lexicon and curve from labelled rows whose fold is not 2."""
+def fit(
+    documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_pos: int = 6, least_weight: float = 3.3,
+    max_broadcast: int = MAX_BROADCAST,
+) -> tuple[Model, DataFrame | None, np.ndarray]:
+    """Learn lexicon (with what is joined of it) and curve from labelled rows whose fold is not 2."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 2)
@@ -377,14 +462,15 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_p
         F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"),
         F.count_if(is_pos & late).alias("pos_b"), F.count_if(~is_pos & late).alias("neg_b"),
     ).first().asDict()
-    early = Model(_lexicon(counts, totals, True, least_pos, least_weight))
+    lexicon, rest = _lexicon(counts, totals, True, least_pos, least_weight, max_broadcast)
     sample = labelled.filter(late).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    seen = _apply(sample.select("toxic", "text"), early, "toxic int, text string").select("toxic", "clause_score", "n_words").toPandas()
+    seen = _apply(sample.select("toxic", "text"), Model(lexicon), rest, "toxic int, text string").select("toxic", "clause_score", "n_words").toPandas()
     if len(seen) and 0 < seen["toxic"].sum() < len(seen):
         curve = _logistic(_inputs(seen["clause_score"].to_numpy(), seen["n_words"].to_numpy()), seen["toxic"].to_numpy().astype(float))
     else:
         curve = DEFAULT_CURVE
-    return Model(_lexicon(counts, totals, False, least_pos, least_weight)), curve
+    lexicon, rest = _lexicon(counts, totals, False, least_pos, least_weight, max_broadcast)
+    return Model(lexicon), rest, curve
 
 
 def _inputs(score: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -404,9 +490,9 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **set
     kept; labels without an id or value are left out, and of repeated labels the largest counts;
     without labels the seed lexicon and a default curve stand; other columns are ignored.
     """
-    model, curve = fit(documents, labels, **settings)
+    model, rest, curve = fit(documents, labels, **settings)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = _apply(docs, model, "doc_id long, text string").drop("text").withColumn("score", probability(curve))
+    scored = _apply(docs, model, rest, "doc_id long, text string").drop("text").withColumn("score", probability(curve))
     return scored.select(
         "doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
         "clause_score", "clauses", "n_words",
@@ -415,9 +501,9 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **set
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **settings) -> DataFrame:
     """The rows of ``documents`` whose text scores below ``threshold``, with all their columns."""
-    model, curve = fit(documents, labels, **settings)
+    model, rest, curve = fit(documents, labels, **settings)
     wrapped = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     inner = wrapped.schema["row"].dataType.simpleString()
-    scored = _apply(wrapped, model, f"row {inner}, text string")
+    scored = _apply(wrapped, model, rest, f"row {inner}, text string")
     kept = scored.filter(probability(curve) < threshold)
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))

@@ -325,6 +325,19 @@ def test_toxicity_on_held_out_labels(spark):
     assert (raised.toxic == 1).mean() > 0.9 and (m[m.toxic == 1].predicted == 1).mean() > 0.85 and p.score.between(0, 1).all()
 
 
+def test_toxicity_keeps_rare_insults_whatever_the_number_of_labels(spark):
+    toxic = [(i, f"well blorf{i % 7} it {'snarfle' if i < 16 else 'gribbet'} runs on", 1) for i in range(2400)]
+    clean = [(10_000 + i, f"well the river{i % 7} and it runs on", 0) for i in range(4800)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in [*toxic, *clean]] + [(90_000, "so snarfle then")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in [*toxic, *clean]], "doc_id long, toxic int")
+    whole = {r["doc_id"]: r["clause_score"] for r in toxicity.score(docs, labels, least_weight=2.0).collect()}
+    assert whole[90_000] > 2.0
+    joined = {r["doc_id"]: r["clause_score"] for r in toxicity.score(docs, labels, least_weight=2.0, max_broadcast=1).collect()}
+    assert joined == whole
+    clean_ids = lambda **k: sorted(r["doc_id"] for r in toxicity.keep_clean(docs, labels, least_weight=2.0, **k).collect())
+    assert clean_ids(max_broadcast=1) == clean_ids()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
