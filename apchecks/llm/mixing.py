@@ -80,13 +80,13 @@ def exchange(p: float, w: float, q: float, v: float, u: float) -> tuple[float, f
     return near(p), near(q)
 
 
-_STATE = "rank long, leaf long, h long, doc_id long, size long, source_size long, target double, p double, copies long"
+_STATE = "rank long, leaf long, h long, doc_id long, size long, source_size long, target double, p double, copies long, row_hash long"
 
 
 def _level(rows: DataFrame, shift: int) -> DataFrame:
     """Rounds inside the groups of one level; at most one row of a group keeps a fraction."""
     group = F.shiftright("leaf", shift)
-    dealt = rows.repartition(F.col("rank"), group).sortWithinPartitions("rank", group, "h", "doc_id", "size")
+    dealt = rows.repartition(F.col("rank"), group).sortWithinPartitions("rank", group, "h", "doc_id", "size", "row_hash")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list | None = None
@@ -133,9 +133,17 @@ def mix_plan(
     the result; null ids hash as one value; repeated rows count each; an empty table gives no rows;
     other columns are ignored.
     """
+    return _plan(documents, F.xxhash64("text"), weights, share, at_most, seed).drop("row_hash")
+
+
+def _plan(
+    documents: DataFrame, row_hash: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, at_most: float = 2.0, seed: int = 7
+) -> DataFrame:
+    """The plan with ``row_hash``, which tells rows of one id, source and size apart."""
     docs = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size")
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
+        row_hash.alias("row_hash"),
+    )
     docs = materialize(docs, "mix-sizes")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, at_most), "mix-targets")
@@ -150,7 +158,7 @@ def mix_plan(
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
     state = rows.select(
         "rank", F.shiftrightunsigned(h, 64 - LEAF_BITS).alias("leaf"), h.alias("h"), "doc_id", "size", "source_size", "target",
-        F.when(part < NEAR, 0.0).otherwise(part).alias("p"), whole.cast("long").alias("copies"),
+        F.when(part < NEAR, 0.0).otherwise(part).alias("p"), whole.cast("long").alias("copies"), "row_hash",
     )
     done = []
     open_rows = state
@@ -168,25 +176,33 @@ def mix_plan(
     names = targets.select("rank", "source")
     return out.join(names, "rank").select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), cut.alias("cut"),
-        (copies * F.col("size") + cut).cast("long").alias("taken"),
+        (copies * F.col("size") + cut).cast("long").alias("taken"), "row_hash",
     )
 
 
+def _row_hash(documents: DataFrame) -> Column:
+    """A hash of all columns, in which a null differs from a value left out; nested ones count as JSON."""
+    flat = [F.to_json(F.struct(f"`{c}`")) if kind.startswith(("struct", "array", "map")) else F.col(f"`{c}`") for c, kind in documents.dtypes]
+    return F.xxhash64(*flat, *(F.col(f"`{c}`").isNull() for c in documents.columns))
+
+
 def mix(documents: DataFrame, **settings) -> DataFrame:
     """The mixed rows: each document's row once per copy, and the cut text where a part is taken.
 
-    Rows that agree in doc_id, source and size count as repeats of one document. Documents without
-    words have nothing to take and so do not appear.
+    Only rows that agree in all columns count as repeats of one document; they are known by a hash of
+    the row beside doc_id, source and size. Documents without words have nothing to take and so do not
+    appear.
     """
-    plan = mix_plan(documents, **settings)
-    per_document = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n_copies"), F.max("cut").alias("n_cut"))
+    row_hash = _row_hash(documents)
+    plan = _plan(documents, row_hash, **settings)
+    per_document = plan.groupBy("doc_id", "source", "size", "row_hash").agg(F.sum("copies").alias("n_copies"), F.max("cut").alias("n_cut"))
     per_document = per_document.filter("n_copies > 0 or n_cut > 0")
     columns = documents.columns
-    wrapped = documents.select(F.struct("*").alias("row"))
-    left = wrapped.select("row", F.col("row.doc_id").cast("long").alias("id"), F.col("row.source").cast("string").alias("src"), word_count(F.col("row.text")).alias("words"))
-    left = left.dropDuplicates(["id", "src", "words"])
+    wrapped = documents.select(F.struct("*").alias("row"), row_hash.alias("hash"))
+    left = wrapped.select("row", "hash", F.col("row.doc_id").cast("long").alias("id"), F.col("row.source").cast("string").alias("src"), word_count(F.col("row.text")).alias("words"))
+    left = left.dropDuplicates(["id", "src", "words", "hash"])
     same = left["id"].eqNullSafe(per_document["doc_id"]) & left["src"].eqNullSafe(per_document["source"]) & (left["words"] == per_document["size"])
-    joined = left.join(per_document, same)
+    joined = left.join(per_document, same & (left["hash"] == per_document["row_hash"]))
     copies = joined.filter("n_copies > 0").select(F.explode(F.array_repeat("row", F.col("n_copies").cast("int"))).alias("row"))
     cut = joined.filter("n_cut > 0").select(F.col("row").withField("text", F.expr(_first_words_sql())).alias("row"))
     return copies.unionByName(cut).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))

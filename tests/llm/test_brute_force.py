@@ -192,6 +192,18 @@ def test_mixing_meets_targets(spark):
     assert (p[key].sort_values("doc_id").to_numpy() == again[key].sort_values("doc_id").to_numpy()).all()
 
 
+def test_mix_keeps_every_text_of_an_id(spark):
+    texts = [(None, f"no id {i}", None) for i in range(100)] + [(7, f"one id {i}", None) for i in range(5)]
+    texts += [(8, "same text twice", None), (8, "same text twice", None), (9, "other column", "a"), (9, "other column", "b"), (9, "other column", None)]
+    docs = spark.createDataFrame([(i, t, "s", m) for i, t, m in texts], "doc_id long, text string, source string, mark string").repartition(3)
+    plan = mixing.mix_plan(docs).toPandas()
+    got = collections.Counter((r["doc_id"], r["text"], r["mark"]) for r in mixing.mix(docs).collect())
+    cut = (plan.cut > 0).sum()
+    assert cut <= 1 and sum(got.values()) == plan.copies.sum() + cut
+    for row, repeats in collections.Counter(texts).items():
+        assert repeats <= got[row] <= 2 * repeats, row
+
+
 def test_exchange_keeps_mass_and_expectation():
     rng = np.random.default_rng(1)
     for _ in range(200):
