@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a local folder is made and set.
+    On a single machine (a local master, as in tests) that names none, a temporary folder is made and
+    set; on a cluster a missing setting is an error, since a machine's own folder would lose data.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,7 +34,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fill_null_text(column: pa.Array) -> pa.Array:
-    if column.null_count:
-        column = column.fill_null("")
-    return column
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Intermediate tables of one job in the shared folder, removed once what follows is written.
+
+    A name holds one table; saving under it again writes the new table first and then removes the old.
+    """
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job = spark, job
+        self.paths: dict[str, str] = {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, f"{self.job}-{name}")
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove(self.spark, self.paths.pop(name))

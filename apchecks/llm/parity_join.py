@@ -5,20 +5,28 @@ shingle one bit and toggles it, so that the Hamming distance of two sketches is
 of the sets' symmetric difference. Two sets of sizes a <= b with a Jaccard similarity of p percent or
 more differ in at most (a + b)(100 - p)/(100 + p) shingles.
 
-Size bands are so wide that linked sets lie in one band or in two neighbours. For each band join the
-sketch is dealt into more blocks than the largest difference allowed there, t: blocks = t + 1 + spare.
-By the pigeonhole principle linked sets agree on at least ``spare + 1`` blocks. Blocks are wide and
-sparse, so a block stands as the XOR of 64-bit words of its set bits. Blocks of fewer than two
-shingles say little and are left out, unless a document has more of them than ``spare``; then it has
-all its blocks, so no linked pair is lost.
-
-Documents with the same block meet in a bucket. Equal sets are one class beforehand. In each bucket
-all members are compared with a few pivots, its smallest and largest id and the least by two hashes (never
-all pairs); pairs pass a size
-test and the Hamming test of a 256-bit sketch, and then their sets are compared exactly. Components
-of these links are formed; only where a bucket still holds several components are members outside the
-component of its smallest id compared with the bucket's members of other components. As every linked
-pair shares a bucket, it is then either compared or already inside one component.
+Candidates. Size bands are so wide that linked sets lie in one band or in two neighbours. For each band
+join the sketch is dealt into more blocks than the largest difference t allowed there: t + 1 + spare.
+By the pigeonhole principle linked sets agree on ``spare + 1`` blocks. Blocks are wide and sparse, so a
+block stands as the XOR of 64-bit words of its set bits. Each document leaves out its ``thin`` thinnest
+blocks, in one order for all (shingles held, then place): what it leaves out of the agreeing blocks is a
+beginning of these, so linked sets still have ``spare + 1 - thin`` agreeing blocks in common. Sets of up to
+``SMALL_SET`` shingles, where blocks would often be empty, take each shingle as a block of its own: linked
+sets share p percent of either's shingles.
+
+Documents with the same block meet in a bucket. Of the blocks that some other document shares, a document
+leaves out the most frequent ones in turn, all but one of those that it must share with a linked set
+(``need``); with fewer than ``need`` shared blocks it links with nothing. So passages that many documents
+share make few candidates. Buckets that hold a large part of a fixed sample of documents are known
+beforehand and dealt over several tasks.
+
+Equal sets are one class beforehand. In each bucket members are compared with its smallest and its largest
+key (never all pairs), pairs pass a size test and the Hamming test of a 256-bit sketch, and then their
+sets are compared exactly: first each with its likeliest partner, then those that this left apart.
+Components of these links are formed. Members of buckets that still hold several components are compared
+with 16 of the bucket; in what is still mixed then, members outside the bucket's main component are tested
+against the others, in parts of a bounded size, and only pairs that pass the Hamming test leave the join.
+As every linked pair shares a bucket, it is then either compared or inside one component.
 """
 
 from __future__ import annotations
@@ -31,22 +39,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 from .graph import components
-from .idfilter import hits, picked
+from .idfilter import hits, key_filter
 from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashes, words
 
 SKETCH_LONGS = 4
-#: Members of a bucket with which all others are compared: the smallest and largest id and the least hashes.
-PIVOTS = 4
+#: Sets up to this size have their shingles as blocks, joined in one band.
+SMALL_SET = 32
+#: Documents of the fixed sample that finds hot buckets, and the count there that makes a bucket hot.
+HOT_SAMPLE, HOT_COUNT = 4096, 16
+#: Tasks over which the entries of a hot bucket are dealt.
+HOT_PARTS = 64
+#: Members of a mixed bucket with which all its others are compared before it is compared whole.
+MORE_PIVOTS = 16
+#: Members of a bucket that one task holds against the others.
+CHUNK = 4096
+
 
 def band_edges(largest: int, percent: int) -> np.ndarray:
-    """First sizes of the bands: linked sizes lie in the same band or in neighbours."""
-    edges = [1]
+    """First sizes of the bands above ``SMALL_SET``: linked sizes lie in the same band or in neighbours."""
+    edges = [SMALL_SET + 1]
     while edges[-1] <= largest:
         edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
-    edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
-    edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
+    for _ in range(2):
+        edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
     return np.array(edges, dtype=np.int64)
 
 
@@ -55,22 +72,37 @@ def most_different(edges: np.ndarray, percent: int) -> np.ndarray:
     return 2 * (edges[1:] - 1) * (100 - percent) // (100 + percent)
 
 
-def _buckets(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of all rows (two band joins each) and the rows' offsets into them."""
+def _small_entries(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, row and group (need * 4) of the shingles of sets that can have a linked set of small size."""
+    sizes = np.diff(at)
+    linkable = 100 * sizes >= percent * (sizes + 1)  # else no other set is near enough
+    chosen = linkable & (percent * sizes <= 100 * SMALL_SET)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    held = chosen[owner]
+    need = -(-percent * sizes // 100)
+    return mix64(values[held] + np.uint64(0x2545F4914F6CDD1D)), owner[held], need[owner[held]] * 4
+
+
+def _entries_of(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, row and group of all entries; a group is its need times four and the row's band join."""
     sizes = np.diff(at)
     rows = len(sizes)
     edges = band_edges(int(sizes.max(initial=1)), percent)
     limit = most_different(edges, percent)
-    spare = 2 + (15 * limit + 99) // 100
+    spare = 2 + -(-limit // 4)
+    thin = spare // 2
     blocks = limit + 1 + spare
+    need = spare + 1 - thin
     own = np.searchsorted(edges, sizes, side="right") - 1
+    large = sizes > SMALL_SET
     owner = np.repeat(np.arange(rows), sizes)
-    place = mix64(values ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
-    word = mix64(values + np.uint64(0x165667B19E3779F9))
-    found, found_row = [], []
-    for join in (own, own + 1):
-        join = np.where(sizes > 0, join, 0)
-        k = np.where(sizes > 0, blocks[join], 0)
+    owner, values_ = owner[large[owner]], values[large[owner]]
+    place = mix64(values_ ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+    word = mix64(values_ + np.uint64(0x165667B19E3779F9))
+    found = [_small_entries(values, at, percent)]
+    for side in (0, 1):
+        join = np.where(large, own + side, 0)
+        k = np.where(large, blocks[join], 0)
         begin = np.concatenate(([0], np.cumsum(k)))
         block = ((place * k[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         flat = begin[owner] + block
@@ -79,15 +111,12 @@ def _buckets(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarr
         held = np.bincount(flat, minlength=len(sketch))
         row = np.repeat(np.arange(rows), k)
         index = np.arange(len(sketch)) - begin[row]
-        thin = held < 2
-        n_thin = np.bincount(row, thin, rows)
-        keep = ~thin | (n_thin > spare[join])[row]
+        order = np.argsort((row << 40) + (np.minimum(held, (1 << 16) - 1) << 24) + np.minimum(index, (1 << 24) - 1), kind="stable")
+        keep = order[np.arange(len(order)) - begin[row[order]] >= thin[join[row[order]]]]
+        keep.sort()
         tag = mix64(join[row].astype(np.uint64) * np.uint64(0x100000001B3) + index.astype(np.uint64) + np.uint64(1))
-        found.append(mix64(sketch ^ tag)[keep])
-        found_row.append(row[keep])
-    key, row = np.concatenate(found), np.concatenate(found_row)
-    order = np.argsort(row, kind="stable")
-    return key[order], np.searchsorted(row[order], np.arange(rows + 1))
+        found.append((mix64(sketch ^ tag)[keep], row[keep], need[join[row[keep]]] * 4 + 1 + side))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _parity(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -114,7 +143,7 @@ def _long_list(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _sketched(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document the size of its set, two sums that stand for the set, and its parity sketch."""
+    """Of each row its key and id, the size of its set, two sums that stand for the set, and its parity sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,56 +153,83 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                 parity = _parity(v, at)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row_key").slice(first, rows),
                         batch.column("doc_id").slice(first, rows),
                         pa.array(np.diff(at).astype(np.int64)),
                         pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                         pa.array((mixed[at[1:]] - mixed[at[:-1]]).view(np.int64)),
                         *(pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(SKETCH_LONGS)),
                     ],
-                    names=["doc_id", "n", "k1", "k2", *(f"s{i}" for i in range(SKETCH_LONGS))],
+                    names=["row_key", "doc_id", "n", "k1", "k2", *(f"s{i}" for i in range(SKETCH_LONGS))],
                 )
 
     longs = ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
-    return docs.mapInArrow(run, f"doc_id long, n long, k1 long, k2 long, {longs}")
+    return docs.mapInArrow(run, f"row_key long, doc_id long, n long, k1 long, k2 long, {longs}")
+
+
+def _hot_buckets(docs: DataFrame, rows: int, k: int, percent: int) -> np.ndarray:
+    """Buckets that hold a large part of a sample of at most about ``HOT_SAMPLE`` documents, sorted.
+
+    They number at most the sample's entries over ``HOT_COUNT``, whatever the corpus. A bucket outside
+    is treated like any other, so the sample decides where entries are dealt to, not which there are.
+    """
+    some = docs.filter(F.pmod(F.xxhash64("row_key"), F.lit(max(1, rows // HOT_SAMPLE))) == 0).select("text").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, v, at in _sets(batch.column("text"), k):
+                yield pa.RecordBatch.from_arrays([pa.array(_entries_of(v, at, percent)[0].view(np.int64))], names=["bucket"])
+
+    hot = some.mapInArrow(run, "bucket long").groupBy("bucket").count().filter(F.col("count") >= HOT_COUNT).select("bucket").toArrow()
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in hot.column(0).chunks)]))
 
 
-def _entries(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """Bucket entries (bucket, id) of the class representatives ``ids``.
+def _entries(docs: DataFrame, ids: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
+    """Bucket entries (bucket, id, grp, part) of the class representatives ``ids``; part is over 0 in hot buckets.
 
-    A copy that the filter lets through too has the entries of its representative, which is no harm: it
-    is linked like any other document.
+    A row that the filter lets through too brings the entries of its representative's equal or of one
+    more document, which is no harm: what it shares is then tested like any other pair.
     """
-    rows, wanted = picked(docs, ids)
+    sent = docs.sparkSession.sparkContext.broadcast((key_filter(ids), hot))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, hot_ = sent.value
         for batch in batches:
-            part = hits(batch, wanted.value)
-            for first, rows_, v, at in _sets(part.column("text"), k):
-                key, key_at = _buckets(v, at, percent)
-                owner = np.repeat(part.column("doc_id").slice(first, rows_).to_numpy(), np.diff(key_at))
+            part = batch.filter(pa.array(hits(batch.column("h"), wanted)))
+            for first, rows, v, at in _sets(part.column("text"), k):
+                key, row, grp = _entries_of(v, at, percent)
+                owner = part.column("row_key").slice(first, rows).to_numpy()[row]
+                key = key.view(np.int64)
+                spread = np.zeros(len(key), dtype=np.int32)
+                if len(hot_):
+                    found = hot_[np.minimum(np.searchsorted(hot_, key), len(hot_) - 1)] == key
+                    spread[found] = 1 + (mix64(owner[found].view(np.uint64)) % np.uint64(HOT_PARTS)).astype(np.int32)
+                grp = grp.astype(np.int32)
                 for lo in range(0, len(key), 1 << 16):
+                    cut = slice(lo, lo + (1 << 16))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[lo : lo + (1 << 16)].view(np.int64)), pa.array(owner[lo : lo + (1 << 16)])], names=["bucket", "id"]
+                        [pa.array(key[cut]), pa.array(owner[cut]), pa.array(grp[cut]), pa.array(spread[cut])], names=["bucket", "id", "grp", "part"]
                     )
 
-    return rows.filter("doc_id is not null").mapInArrow(run, "bucket long, id long")
+    rows = docs.select("row_key", "text", F.xxhash64("row_key").alias("h"))
+    return rows.mapInArrow(run, "bucket long, id long, grp int, part int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of ids whose shingle sets are similar enough, by the sets themselves."""
-    pairs = materialize(pairs, "parity-pairs")
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those pairs (a, b) of row keys whose shingle sets are similar enough, by the sets themselves."""
+    pairs = scratch.save(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows, wanted = picked(docs, ids)
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = hits(batch, wanted.value)
+            part = batch.filter(pa.array(hits(batch.column("h"), sent.value)))
             for first, n, v, at in _sets(part.column("text"), k):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, n), _long_list(v, at)], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("row_key").slice(first, n), _long_list(v, at)], names=["id", "set"])
 
-    sets = rows.filter("doc_id is not null").mapInArrow(run, "id long, set array<long>")
-    sets = sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(sets, "parity-sets")
+    sets = docs.select("row_key", "text", F.xxhash64("row_key").alias("h")).mapInArrow(run, "id long, set array<long>")
+    # Rows of one key are equal in id and text, so any of them will do.
+    sets = scratch.save(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
@@ -191,20 +247,127 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
 
 
-def _same_pair() -> Column:
-    return (F.least("id", "y") == F.col("a")) & (F.greatest("id", "y") == F.col("b"))
-
-
 def _may_link(percent: int) -> Column:
     """Size and Hamming tests between columns n, s0.. and m, t0.. of a pair."""
     sizes = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     return sizes & (_distance() * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
-def _other(rows: DataFrame) -> DataFrame:
-    """The second side of a pair: id, n and sketch under other names."""
-    rows = rows.withColumnsRenamed({"id": "y", "n": "m"})
-    return rows.withColumnsRenamed({f"s{i}": f"t{i}" for i in range(SKETCH_LONGS)})
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (id, y) that pass the size and Hamming tests, with their distance."""
+    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
+    x = classes.select("id", "n", *sketch)
+    y = x.withColumnsRenamed({"id": "y", "n": "m"} | {f"s{i}": f"t{i}" for i in range(SKETCH_LONGS)})
+    return pairs.distinct().join(x, "id").join(y, "y").filter(_may_link(percent)).select("id", "y", _distance().alias("distance"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs (id, y) that lie in different components."""
+    left = pairs.join(roots.withColumnRenamed("root", "x_root"), "id", "left")
+    left = left.join(roots.select(F.col("id").alias("y"), F.col("root").alias("y_root")), "y", "left")
+    return left.filter(F.coalesce("x_root", "id") != F.coalesce("y_root", "y")).select("id", "y")
+
+
+def _mixed(members: DataFrame, roots: DataFrame, classes: DataFrame, done: int) -> DataFrame:
+    """The members of buckets of more than ``done`` that hold several components, with their class's columns.
+
+    ``home`` is the component of most members of the bucket, ``parts`` the tasks over which they are dealt.
+    """
+    placed = members.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of = placed.groupBy("bucket", "root").agg(F.count("*").alias("here")).groupBy("bucket")
+    of = of.agg(F.max_by("root", F.struct("here", "root")).alias("home"), F.count("*").alias("several"), F.sum("here").alias("size"))
+    of = of.filter((F.col("several") > 1) & (F.col("size") > done))
+    of = of.select("bucket", "home", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
+    return placed.join(of, "bucket").join(classes.select("id", "n", *(f"s{i}" for i in range(SKETCH_LONGS))), "id")
+
+
+def _across(members: DataFrame, pivots: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket and of different components that pass the size and Hamming tests.
+
+    With ``pivots``, all members are held against that many of the bucket; else members outside the
+    bucket's home against all. What fails the tests never leaves the join.
+    """
+    y = members.drop("home")
+    if pivots:
+        y = y.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).filter(F.col("place") <= pivots).drop("place")
+    y = y.withColumnsRenamed({"id": "y", "n": "m", "root": "y_root"} | {f"s{i}": f"t{i}" for i in range(SKETCH_LONGS)})
+    x = members if pivots else members.filter("root <> home")
+    # The members of a large bucket meet the other side in parts.
+    x = x.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    once = F.lit(True) if pivots else (F.col("y_root") == F.col("home")) | (F.col("id") < F.col("y"))
+    return _ordered(x.join(y, ["bucket", "part"]).filter((F.col("root") != F.col("y_root")) & once & _may_link(percent)))
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
+def _candidates(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """Bucket members (bucket, id) among which each linked pair meets at least once."""
+    # A bucket's part is one partition, so that it can be counted and joined after one shuffle.
+    dealt = entries.repartition("bucket", "part")
+    sizes = dealt.groupBy("bucket", "part").agg(F.count("*").alias("size")).filter("size > 1 or part > 0")
+    sizes = sizes.withColumn("size", F.when(F.col("part") > 0, F.lit(1 << 50)).otherwise(F.col("size")))
+    shared = dealt.join(sizes.hint("shuffle_hash"), ["bucket", "part"]).select("bucket", "id", "grp", "size")
+    shared = scratch.save(shared, "shared")
+    frequent_first = Window.partitionBy("id", "grp").orderBy(F.desc("size"), "bucket")
+    kept = shared.distinct().withColumn("place", F.row_number().over(frequent_first))
+    kept = kept.filter(F.col("place") >= F.shiftright("grp", 2)).select("bucket", "id")
+    kept = scratch.save(kept, "members")
+    scratch.drop("shared")
+    return kept
+
+
+def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The component (id, root) of each class that links with another."""
+    ends = members.groupBy("bucket").agg(F.min("id").alias("p0"), F.max("id").alias("p1"), F.count("*").alias("size")).filter("size > 1")
+    star = members.join(ends, "bucket").select("id", F.explode(F.array("p0", "p1")).alias("y")).filter("id <> y")
+    star = scratch.save(_likely(star, classes, percent), "star")
+    order = Window.partitionBy("id").orderBy("distance", "y")
+    first = _ordered(star.withColumn("place", F.row_number().over(order)).filter("place = 1"))
+    first = scratch.save(first, "first")
+    roots = components(_verified(docs, first, k, percent, scratch), scratch)
+    again = _ordered(_apart(star, roots)).join(first, ["a", "b"], "left_anti")
+    roots = components(_edges(roots).unionByName(_verified(docs, again, k, percent, scratch)), scratch)
+    tested = scratch.save(_ordered(star), "tested")
+    scratch.drop("star", "first")
+    for pivots in (MORE_PIVOTS, None):
+        # Up to three members have been compared with each other, later up to one more than the pivots.
+        members = scratch.save(_mixed(members, roots, classes, 3 if pivots else MORE_PIVOTS + 1), "mixed")
+        if members.isEmpty():
+            break
+        pairs = _across(members, pivots, percent).join(tested, ["a", "b"], "left_anti")
+        roots = components(_edges(roots).unionByName(_verified(docs, pairs, k, percent, scratch)), scratch)
+        tested = scratch.save(tested.unionByName(pairs), "tested") if pivots else tested
+    scratch.drop("members", "mixed", "pairs", "sets", "tested")
+    return roots
+
+
+def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """As `near_duplicates`, a row per input row, with two more columns.
+
+    ``row_key`` is the xxhash64 of doc_id and text, which tells rows apart; ``group_key`` names the
+    row's group also where none of its rows has a doc_id (null for texts without words).
+    """
+    scratch = Scratch(documents.sparkSession, "parity")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    base = scratch.save(_sketched(docs, k), "sketches")
+    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
+    # A class of equal sets is represented by its smallest row key; equal sets have equal sketches.
+    classes = base.filter("n > 0").groupBy("n", "k1", "k2")
+    classes = classes.agg(F.min("row_key").alias("id"), F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in sketch))
+    classes = scratch.save(classes, "classes")
+    hot = _hot_buckets(docs, classes.count(), k, percent)
+    members = _candidates(_entries(docs, classes.select("id"), hot, k, percent), scratch)
+    roots = _linked(docs, classes, members, k, percent, scratch)
+    placed = classes.select("n", "k1", "k2", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = placed.join(least, "root").select("n", "k1", "k2", F.col("root").alias("group_key"), "component_id")
+    out = base.select("row_key", "doc_id", "n", "k1", "k2").join(placed, ["n", "k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row_key", "group_key")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -212,56 +375,44 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     Words are what stands between spaces and 0x09 to 0x0D, with A-Z lower-cased; the set is that of
     ``k``-word shingles, of shorter texts the whole sequence. Returns a row per input row: doc_id,
-    n_shingles, component_id (the smallest doc_id reachable by links, itself included). Null and
-    empty texts link with nothing. A row with a null doc_id takes no part and has a null component.
-    Repeated rows are one document; rows of one id with different texts are placed each by its own
-    text. An empty table gives no rows. Other columns are ignored. There is no cap on partners.
+    n_shingles, component_id (the smallest doc_id reachable by links, itself included). Rows are linked
+    by their texts, each row by its own, also where ids repeat; sharing an id is no link. Null texts and
+    texts without words link with nothing and have their own doc_id as component. A row with a null
+    doc_id takes part like others; the component is null where no row of it has an id. An empty table
+    gives no rows. Other columns are ignored. There is no cap on partners or candidates.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(_sketched(docs, k), "parity-sketches")
-    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
-    real = base.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # A class of equal sets is represented by its smallest id; equal sets have equal sketches.
-    classes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in sketch))
-    classes = materialize(classes, "parity-classes")
-    entries = _entries(docs, classes.select("id"), k, percent).repartition("bucket")
-    pivots = [F.min_by("id", F.xxhash64(F.lit(i), "id")).alias(f"p{i}") for i in range(2, PIVOTS)]
-    ends = entries.groupBy("bucket").agg(F.min("id").alias("p0"), F.max("id").alias("p1"), *pivots).filter("p0 <> p1")
-    shared = materialize(entries.join(ends.hint("shuffle_hash"), "bucket"), "parity-shared")
-    small = classes.select("id", "n", *sketch)
-    names = [f"p{i}" for i in range(PIVOTS)]
-    star = shared.select("id", F.explode(F.array_distinct(F.array(*names))).alias("y")).filter("id <> y").distinct()
-    star = star.join(small, "id").join(_other(small), "y").filter(_may_link(percent))
-    star = materialize(star.select("id", "y", _distance().alias("distance")), "parity-star")
-    # First each document with its most likely pivot; the other pivots only where that left them apart.
-    order = Window.partitionBy("id").orderBy("distance", "y")
-    first = star.withColumn("place", F.row_number().over(order)).filter("place = 1")
-    links = _verified(docs, _ordered(first), k, percent)
-    roots = components(links)
-    left = star.join(roots.withColumnRenamed("root", "x_root"), "id", "left")
-    left = left.join(roots.select(F.col("id").alias("y"), F.col("root").alias("y_root")), "y", "left")
-    apart = left.filter(F.coalesce("x_root", "id") != F.coalesce("y_root", "y"))
-    again = _verified(docs, _ordered(apart.join(_ordered(first), _same_pair(), "left_anti")), k, percent)
-    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(again)
-    roots = components(links)
-    # Buckets that still hold several components; home is the component of the bucket's smallest id.
-    placed = shared.select("bucket", "id", "p0").join(small, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    bucket = Window.partitionBy("bucket")
-    home = F.max(F.when(F.col("id") == F.col("p0"), F.col("root"))).over(bucket)
-    several = F.min("root").over(bucket) != F.max("root").over(bucket)
-    members = placed.withColumns({"home": home, "several": several}).filter("several").drop("several", "p0")
-    members = materialize(members, "parity-mixed")
-    if not members.isEmpty():
-        x = members.filter(F.col("root") != F.col("home"))
-        y = _other(members.select("bucket", "id", F.col("root").alias("y_root"), "n", *sketch))
-        rest = x.join(y, "bucket").filter(
-            (F.col("root") != F.col("y_root"))
-            & ((F.col("y_root") == F.col("home")) | (F.col("id") < F.col("y")))
-            & _may_link(percent)
-        )
-        more = _verified(docs, _ordered(rest), k, percent)
-        old = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-        roots = components(old.unionByName(more))
-    group = classes.join(roots, "id", "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("component"))
-    out = base.select("doc_id", "n", "k1", "k2").join(group, ["n", "k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return groups(documents, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each group: that of the smallest doc_id (rows without one come last).
+
+    Of rows alike in doc_id and text, the one with the smallest hash of its columns stays. Null texts and
+    texts without words form no groups, so all such rows stay. Columns and values are kept as they are.
+    """
+    found = groups(documents, k, percent).filter("group_key is not null")
+    found = materialize(found.select("row_key", "doc_id", "group_key"), "parity-groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
+    several = found.groupBy("group_key").agg(best.alias("stays"), F.count("*").alias("rows")).filter("rows > 1").select("group_key", "stays")
+    touched = materialize(found.join(several, "group_key").select(F.col("row_key").alias("id"), "stays").distinct(), "parity-touched")
+    names = documents.columns
+    taken = {c.lower() for c in names}
+    key, hit = ("".join(("_",) * n) + "row_key" for n in (1, 2))
+    while key in taken or hit in taken:
+        key, hit = f"_{key}", f"_{hit}"
+    sent = documents.sparkSession.sparkContext.broadcast(key_filter(touched.select("id")))
+    keyed = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn(hit, F.xxhash64(key))
+
+    def passing(want: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(hits(batch.column(hit), sent.value) == want))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    rows = passing(True).join(touched.withColumnRenamed("id", key), key, "left")
+    plain = [f.name for f in documents.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    alike = Window.partitionBy(key).orderBy(F.xxhash64(*plain))
+    alone = rows.filter("stays is null").select(*names)
+    stays = rows.filter(F.col("stays") == F.col(key)).withColumn(hit, F.row_number().over(alike)).filter(F.col(hit) == 1).select(*names)
+    return passing(False).select(*names).unionByName(alone).unionByName(stays)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .idfilter import hits, picked
+from .idfilter import hits, key_filter
 from .textops import (
     NOT_ALNUM,
     Slice,
@@ -446,11 +446,12 @@ def fit(
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 2)
-    rows, wanted = picked(docs, marks.select(F.col("doc_id").alias("id")))
+    wanted = documents.sparkSession.sparkContext.broadcast(key_filter(marks.select(F.col("doc_id").alias("id"))))
+    rows = docs.withColumn("h", F.xxhash64("doc_id"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield hits(batch, wanted.value).select(["doc_id", "text"])
+            yield batch.filter(pa.array(hits(batch.column("h"), wanted.value))).select(["doc_id", "text"])
 
     some = rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, text string")
     labelled = some.join(marks.hint("merge"), "doc_id").withColumn("fold", fold().cast("int"))
