@@ -307,8 +307,10 @@ def _candidates(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """Bucket members (bucket, id) among which each linked pair meets at least once."""
     # A bucket's part is one partition, so that it can be counted and joined after one shuffle.
     dealt = entries.repartition("bucket", "part")
-    sizes = dealt.groupBy("bucket", "part").agg(F.count("*").alias("size")).filter("size > 1 or part > 0")
-    sizes = sizes.withColumn("size", F.when(F.col("part") > 0, F.lit(1 << 50)).otherwise(F.col("size")))
+    # The largest id and group keep these columns in the count's shuffle, so that it is the join's as well.
+    sizes = dealt.groupBy("bucket", "part").agg(F.count("*").alias("size"), F.max("id").alias("i"), F.max("grp").alias("g"))
+    sizes = sizes.filter("(size > 1 or part > 0) and i is not null and g is not null")
+    sizes = sizes.select("bucket", "part", F.when(F.col("part") > 0, F.lit(1 << 50)).otherwise(F.col("size")).alias("size"))
     shared = dealt.join(sizes.hint("shuffle_hash"), ["bucket", "part"]).select("bucket", "id", "grp", "size")
     shared = scratch.save(shared, "shared")
     frequent_first = Window.partitionBy("id", "grp").orderBy(F.desc("size"), "bucket")
