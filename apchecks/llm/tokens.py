@@ -1,27 +1,37 @@
-"""Byte-level BPE ids of whole texts, with the pieces between spaces encoded once.
+"""Byte-level BPE ids of whole texts, with the cuts between spaces encoded once.
 
 The tokenizer splits a text into pieces before merging bytes, and a piece never crosses a space that
 stands before a non-space character. Texts are cut there, each distinct cut is encoded once by the
 tokenizers library and kept in a dictionary of bounded size, and a text's ids are the cuts' ids in order.
+
+Most cuts are made of letters or digits, perhaps with marks behind them and line ends between such words. Their pieces are known without the tokenizer's own splitting, so these pieces go to the library's
+model alone, many in one text; every other cut is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
 #: Cuts kept in a generation of a worker's memory; it holds two generations, the younger in use.
-CACHE_CUTS = 600_000
+CACHE_CUTS = 400_000
 #: Longer cuts are encoded but not kept.
-CACHE_CHARS = 48
-#: Texts whose cuts are looked up together, and cuts encoded together.
-GROUP_TEXTS = 256
-GROUP_CUTS = 4096
+CACHE_CHARS = 32
+#: Texts whose cuts are looked up together, and pieces encoded together.
+GROUP_TEXTS = 512
+GROUP_PIECES = 4096
 
 _CUT = re.compile(r" (?=\S)")
-_SPACE_RUN = re.compile(r" \s")
+#: Letters of scripts that Unicode has held since long, so that every library agrees that they are letters.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωЀ-ҁא-תء-غف-يぁ-ゖァ-ヺ一-鿋가-힣"
+#: Letters or digits, then marks without an apostrophe (which can begin a contraction).
+_WORD = re.compile(rf"([{_LETTERS}]+|[0-9]+)([!-&(-/:-@\[-`{{-~]*)")
+_PLAIN = re.compile(rf"{_WORD.pattern}(?:\n\n?{_WORD.pattern})*")
+_ALPHA = re.compile(rf"[{_LETTERS}]+")
+_LINES = re.compile(r"\n+")
 
 
 class Encoder:
@@ -29,77 +39,129 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        ids = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
-        self.marks = {m: np.array(i, dtype="<u4").tobytes() for m, i in ids.items()}
+        # The same model with pieces told apart by spaces; a piece's own space is the model's letter for it.
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.encode_special_tokens = True
+        self.pieces.model._resize_cache(0)  # each piece comes once, so a cache would only cost time
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letter: dict[int, str] = {}
+        for c in map(chr, (*range(0x80), *range(0x80, 0x800), *range(0x800, 0xD800, 64))):
+            self.letter.update(zip(c.encode(), split.pre_tokenize_str(c)[0][0]))
+        self.space, self.line = self.letter[32], self.letter[10]
+        (self.line_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
+        self.newline = np.array([self.line_id], dtype="<u4").tobytes()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Pieces without a space in front: words after a line end, and marks.
+        self.bare: dict[str, bytes] = {"": b""}
 
-    def _cuts(self, text: str) -> list[str]:
-        """All cuts of a text but the first lose the space in front of them."""
-        return _CUT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
+    def _letters(self, piece: str) -> str:
+        """A piece in the model's letters, one for each byte."""
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letter)
 
-    def _fresh(self, cuts: list[str]) -> None:
-        """Encode cuts that aren't kept yet, many in one text with a line for each.
+    def _pieces(self, pieces: list[str], spaced: bool) -> list[bytes]:
+        """Ids of pieces, many encoded as one text.
 
-        A newline between other characters is one id of its own, also one inside a cut, so a cut ends
-        with the id of the newline that follows as many newlines as it holds.
+        Pieces with a space in front begin where an id begins with the space. Others are told apart by a
+        line end, an id of its own, between them.
         """
-        lines, others = [], []
+        out = []
+        between = f" {self.space}" if spaced else f" {self.line} "
+        for i in range(0, len(pieces), GROUP_PIECES):
+            some = pieces[i : i + GROUP_PIECES]
+            whole = between.join(map(self._letters, some))
+            whole = self.space + whole if spaced else f"{self.line} {whole}"
+            ids = np.array(self.pieces.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.begins[ids] if spaced else ids == self.line_id)
+            if len(starts) != len(some):
+                raise ValueError("pieces and their ids do not agree")
+            ends = (4 * np.append(starts[1:], len(ids))).tolist()
+            starts = (4 * (starts if spaced else starts + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip(starts, ends)]
+        return out
+
+    def _fresh(self, cuts: Iterable[str]) -> None:
+        """Encode cuts that aren't kept yet."""
+        young, bare, match, word, alpha = self.young, self.bare, _PLAIN.fullmatch, _WORD.findall, _ALPHA.fullmatch
+        alone, composed, others = [], [], []
+        spaced, unspaced = set(), set()
         for c in cuts:
-            if c.isprintable() and c and " " not in c:
-                lines.append((c, 0))
+            if c.isalpha() and (c.isascii() or alpha(c)):
+                alone.append(c)
+            elif match(c):
+                parts = word(c)
+                composed.append((c, parts))
+                (head, marks), *rest = parts
+                if head not in young:
+                    spaced.add(head)
+                if marks not in bare:
+                    unspaced.add(marks)
+                for pair in rest:
+                    unspaced.update(pair)
             else:
-                parts = c.split("\n")
-                simple = all(p and p.isprintable() and " " not in p for p in parts)
-                lines.append((c, len(parts) - 1)) if simple else others.append(c)
-        young = self.young
-        for i in range(0, len(lines), GROUP_CUTS):
-            some = lines[i : i + GROUP_CUTS]
-            whole = " " + "\n ".join([c for c, _ in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.newline)).tolist(), 4 * len(ids)]
-            if len(ends) != len(some) + sum(n for _, n in some):
-                others += [c for c, _ in some]
-                continue
-            raw, start, at = ids.tobytes(), 0, -1
-            for c, n in some:
-                at += n + 1
-                young[c] = raw[start : ends[at]]
-                start = ends[at] + 4
-        for i in range(0, len(others), GROUP_CUTS):
-            some = others[i : i + GROUP_CUTS]
+                others.append(c)
+        alone += spaced.difference(alone)
+        young.update(zip(alone, self._pieces(alone, True)))
+        some = [p for p in unspaced if p not in bare]
+        bare.update(zip(some, self._pieces(some, False)))
+        for c, ((head, marks), *rest) in composed:
+            ids = young[head] + bare[marks]
+            if rest:
+                for (w, m), ends in zip(rest, _LINES.findall(c)):
+                    ids += self.newline * len(ends) + bare[w] + bare[m]
+            young[c] = ids
+        for i in range(0, len(others), GROUP_PIECES):
+            some = others[i : i + GROUP_PIECES]
             for c, e in zip(some, self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)):
                 young[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for lo in range(0, len(texts), GROUP_TEXTS):
+            group = texts[lo : lo + GROUP_TEXTS]
+            parts = [t.split(" ") for t in group]
+            # All cuts of a text but the first lose the space in front of them.
+            heads = [p.pop(0) for p in parts]
+            distinct = set().union(*parts)
+            # A cut that begins with white space was no place to cut; kept cuts never do.
+            fresh = distinct.difference(self.young)
+            wrong = {c for c in fresh if not c or c[0].isspace()}
+            if wrong:
+                for i, p in enumerate(parts):
+                    if not wrong.isdisjoint(p):
+                        parts[i] = _CUT.split(group[i])
+                        heads[i] = parts[i].pop(0)
+                fresh = set().union(*parts).difference(self.young)
             young, old = self.young, self.old
-            parts = [self._cuts(t) for t in texts[lo : lo + GROUP_TEXTS]]
-            heads = self.tokenizer.encode_batch_fast([p.pop(0) for p in parts], add_special_tokens=False)
-            later = {c for p in parts for c in p if c not in young}
-            known = {c: old[c] for c in later if c in old}
-            young.update(known)
-            fresh = [c for c in later if c not in known]
-            # A full stop or comma after a letter or digit is a piece of its own.
-            told = {c: young[c[:-1]] + self.marks[c[-1]] for c in fresh if c[-1:] in self.marks and c[:-1] in young and c[-2:-1].isalnum()}
-            young.update(told)
-            self._fresh([c for c in fresh if c not in told])
+            young.update([(c, old[c]) for c in fresh if c in old])
+            fresh = fresh.difference(young)
+            self._fresh(fresh)
             get = young.__getitem__
-            for p, head in zip(parts, heads):
+            first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+            for p, head in zip(parts, first):
                 out.append(np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, p)))
             for c in fresh:
                 if len(c) > CACHE_CHARS:
                     del young[c]
             if len(young) > CACHE_CUTS:
                 self.old, self.young = young, {}
+            if len(self.bare) > CACHE_CUTS // 4:
+                self.bare = {"": b""}
         return out
 
+    def trim(self) -> None:
+        """Drop the older generation; called at a task's end, since workers live on between tasks."""
+        self.old = {}
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
