@@ -43,6 +43,7 @@ from .common import Scratch, materialize
 from .graph import components
 from .idfilter import hits, key_filter
 from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashes, words
+from .tokens import release
 
 SKETCH_LONGS = 4
 #: Sets up to this size have their shingles as blocks, joined in one band.
@@ -146,6 +147,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
     """Of each row its key and id, the size of its set, two sums that stand for the set, and its parity sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, rows, v, at in _sets(batch.column("text"), k):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v)))

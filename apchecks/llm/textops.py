@@ -32,7 +32,6 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_MASK = (1 << 64) - 1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -194,7 +193,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, weight: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys, self.values = keys[order], values[order].astype(np.float64)
         bits = max(4, int(np.ceil(np.log2(max(len(keys), 1)))) + 1)
         self.shift = np.uint64(64 - bits)
         heavy_last = np.argsort(weight[order], kind="stable").astype(np.int32)

@@ -171,3 +171,9 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Forget the encoders of this worker process. Other operators' tasks call it, since Spark's workers
+    live on between stages and would hold an encoder's memory all that time."""
+    _ENCODERS.clear()

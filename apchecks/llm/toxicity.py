@@ -41,6 +41,7 @@ from .textops import (
     slices,
     words,
 )
+from .tokens import release
 
 # Seed words of the classes; a parameter of the grammar.
 TARGETS = "you your yours youre u he she they them him her his this these tu toi vous votre vos du dich dir ihr euch sie usted ustedes te ti"
@@ -260,6 +261,7 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
     seeds = np.sort(_seed_hashes(INSULTS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             part = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -364,6 +366,7 @@ def _with_rest(docs: DataFrame, rest: DataFrame) -> DataFrame:
     named = docs.withColumns({"text_1": F.xxhash64("text"), "text_2": F.xxhash64(F.lit(1), "text")})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for s in slices(batch.column("text")):
                 w = words(s, NOT_ALNUM)
@@ -400,6 +403,7 @@ def _apply(docs: DataFrame, model: Model, rest: DataFrame | None, columns: str)
         return Lexicon(keys, weights[first])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             parts = [sent.value.clause_scores(s, more(batch.slice(s.first, s.rows))) for s in slices(batch.column("text"))]
             if parts:
@@ -450,6 +454,7 @@ def fit(
     rows = docs.withColumn("h", F.xxhash64("doc_id"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array(hits(batch.column("h"), wanted.value))).select(["doc_id", "text"])
 
