@@ -14,9 +14,9 @@ TAXONOMY = (
     ("TAX_MISMATCH", "review", "the tax", "Check the tax rate for this supplier"),
     ("INVALID_DATE", "review", "the dates", "Confirm the date with the supplier"),
     ("UNKNOWN_SUPPLIER", "review", "the supplier", "Link to an existing supplier or create a new one"),
-    ("BANK_DETAILS_CHANGED", "block", "the bank account", "Call the supplier on a known number to confirm"),
-    ("POSSIBLE_DUPLICATE", "block", "the duplicate check", "Compare side by side, then reject or mark as not a duplicate"),
-    ("NO_PO", "review", "the purchase order lookup", "Ask the requester for a PO number"),
+    ("BANK_DETAILS_CHANGED", "block", "the bank account", "Verify by phone using a known contact before approving. This is a common fraud pattern"),
+    ("POSSIBLE_DUPLICATE", "block", "the duplicate check", "Compare them side by side; reject if duplicate"),
+    ("NO_PO", "review", "the purchase order lookup", "Ask the requester for the PO, or approve as a non-PO invoice"),
     ("PO_NOT_FOUND", "review", "the purchase order lookup", "Check for a typo or ask purchasing"),
     ("PRICE_VARIANCE", "review", "the price comparison with the PO", "Accept the variance, or ask the supplier to correct it"),
     ("QTY_VARIANCE", "review", "the quantity comparison with the PO", "Ask the supplier or purchasing"),
@@ -37,6 +37,8 @@ REASON_WORDS = {
     "NO_BANK_ON_FILE": "there is no bank account on file for this supplier to compare with",
     "NO_SUPPLIER": "the supplier is not known",
     "NO_INVOICE_NUMBER": "the invoice number was not read",
+    "INCOMPLETE_FOR_SOFT_MATCH": "a similar earlier invoice, or this one, is missing its total, date or currency",
+    "SUPPLIER_UNCERTAIN": "a similar earlier invoice has a supplier that could be the same company written another way",
     "EARLIER_INVOICES_STILL_PENDING": "earlier invoices were still being read when the wait ended",
     "TOO_MANY_TO_COMPARE": "there are too many earlier invoices to compare",
     "NO_PO": "no purchase order was found",
@@ -45,9 +47,15 @@ REASON_WORDS = {
     "SUPPLIER_UNKNOWN": "the PO number was found but the supplier of this invoice is not known",
     "AMBIGUOUS_PO": "more than one purchase order fits",
     "CREDIT_NOTE": "the invoice has a negative amount or quantity (a credit note)",
+    "NO_LINES": "no invoice lines were read",
+    "PO_HAS_NO_LINES": "the purchase order has no lines",
     "NO_RECEIPT": "nothing has been received yet",
+    "NO_MATCHED_LINES": "no invoice line could be matched to a PO line",
+    "UNREADABLE_LINE": "a line's price or quantity could not be read",
     "CURRENCY_DIFFERS_FROM_PO": "the invoice currency differs from the PO currency",
     "CURRENCY_UNKNOWN": "the invoice currency was not read",
+    "NO_SUBTOTAL": "the subtotal could not be read",
+    "TOO_MANY_POS_TO_COMPARE": "there are too many purchase orders to search",
     "EARLIER_BILLING_UNKNOWN": "an earlier invoice on the same PO has an unreadable amount",
 }
 # Skips that only repeat another exception.

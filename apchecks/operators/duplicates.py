@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import canonical_key, number_key, number_similarity
+from ..functions.keys import canonical_key, number_key, number_similarity, text_key
 
 NOT_COMPARABLE = ("pending", "received", "extracting", "failed")
 
@@ -71,3 +71,21 @@ def soft_duplicates(invoices: DataFrame, window_days: int = 7, similarity_min: i
         "tenant_id", "invoice_id", F.col("b.o_invoice_id").alias("existing_invoice_id"), F.round("b.similarity", 1).alias("similarity"),
         F.abs(F.datediff("b.invoice_date", "b.o_invoice_date")).alias("days_apart"),
     )
+
+
+def check_duplicates(invoices: DataFrame, window_days: int = 7, similarity_min: int = 85) -> DataFrame:
+    """The duplicate check of every invoice: a hard duplicate before a soft one, else what could not be done.
+
+    Invoices without a supplier record are compared by the key of the printed name with others that have
+    none; without either, or without a number, the check is skipped.
+    """
+    who = F.coalesce(F.col("supplier_id").cast("string"), F.concat(F.lit("~"), F.nullif(text_key("supplier_name"), F.lit(""))))
+    i = invoices.withColumn("supplier_id", who)
+    hard = hard_duplicates(i).select("tenant_id", "invoice_id", F.lit(True).alias("hard"))
+    soft = soft_duplicates(i, window_days, similarity_min).select("tenant_id", "invoice_id", F.lit(True).alias("soft"))
+    keys = ["tenant_id", "invoice_id"]
+    out = i.select(*keys, "supplier_id", number_key("invoice_number").alias("number")).join(hard, keys, "left").join(soft, keys, "left")
+    reason = F.when(F.col("supplier_id").isNull(), "NO_SUPPLIER").when(F.coalesce("number", F.lit("")) == "", "NO_INVOICE_NUMBER")
+    found = F.col("hard").isNotNull() | F.col("soft").isNotNull()
+    outcome = F.when(reason.isNotNull(), "skipped").when(found, "fail").otherwise("pass")
+    return out.select(*keys, F.lit("POSSIBLE_DUPLICATE").alias("check_code"), outcome.alias("outcome"), reason.alias("reason"))

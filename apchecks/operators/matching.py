@@ -180,3 +180,112 @@ def check_quantities(pairs: DataFrame, received: DataFrame, tolerance_bp: int =
         F.col("before").cast("long").alias("billed_before_qty"), F.col("qty").cast("long").alias("billed_qty"),
         F.col("po_qty").cast("long").alias("po_qty"), F.col("qty_received").cast("long").alias("received_qty"),
     )
+
+
+def _heads(invoices: DataFrame, orders: DataFrame, total_tolerance_bp: int) -> DataFrame:
+    """Per invoice the order found, and outcome and reason of the two checks that look for it."""
+    none, text = F.lit(None).cast("string"), F.lit("pass")
+    named = find_orders(invoices, orders)
+    unclear = F.col("reason").eqNullSafe(F.lit("AMBIGUOUS_PO"))
+    named = named.select(
+        "tenant_id", "invoice_id", "matched_po_id",
+        F.when(unclear, "skipped").otherwise("pass").alias("no_po"), F.when(unclear, F.col("reason")).alias("no_po_reason"),
+        F.when(unclear, "pass").otherwise(F.col("outcome")).alias("not_found"),
+        F.when(F.col("outcome") == "skipped", F.when(~unclear, F.col("reason"))).alias("not_found_reason"),
+    )
+    guessed = infer_orders(invoices, orders, total_tolerance_bp).select(
+        "tenant_id", "invoice_id", "matched_po_id", F.col("outcome").alias("no_po"),
+        F.when(F.col("outcome") == "skipped", F.col("reason")).alias("no_po_reason"), text.alias("not_found"), none.alias("not_found_reason"),
+    )
+    return named.unionByName(guessed)
+
+
+def _verdict(findings: Column, unread: Column, pairs: Column) -> tuple[Column, Column]:
+    """Outcome and reason of a check over lines: findings, then what could not be read, then no lines at all."""
+    reason = F.when(findings > 0, None).when(unread > 0, "UNREADABLE_LINE").when(pairs == 0, "NO_MATCHED_LINES")
+    return F.when(findings > 0, "fail").when(reason.isNotNull(), "skipped").otherwise("pass"), reason
+
+
+def match_checks(
+    invoices: DataFrame, orders: DataFrame, invoice_lines: DataFrame, order_lines: DataFrame, receipt_lines: DataFrame,
+    total_tolerance_bp: int = 200, price_tolerance_bp: int = 200, qty_tolerance_bp: int = 0, overbill_tolerance_minor: int = 0,
+) -> DataFrame:
+    """All seven checks against orders, receipts and earlier billing: a row per invoice and code.
+
+    Lines are paired by SKU; an unpaired line counts as not on the order. A credit note is matched but not
+    compared, and counts as unknown billing for later invoices, as does one in another currency or with
+    unread quantities on paired lines: where earlier billing is unknown, a cumulative check can fail but not
+    pass. Two windows in received order, one per order and one per order line, see all invoices at once.
+    """
+    keys = ["tenant_id", "invoice_id"]
+    of_lines = invoice_lines.groupBy("invoice_id").agg(
+        F.count("*").alias("lines"), F.count("amount_minor").alias("amounts"), F.sum("amount_minor").alias("lines_minor"),
+        F.coalesce(F.max((F.col("qty") < 0) | (F.col("amount_minor") < 0)), F.lit(False)).alias("negative"),
+    )
+    o = orders.select(
+        "tenant_id", F.col("po_id").alias("matched_po_id"), F.col("currency").alias("po_currency"), F.col("total_minor").alias("po_total_minor")
+    )
+    on_order = order_lines.groupBy(F.col("po_id").alias("matched_po_id")).agg(F.count("*").alias("po_lines"))
+    receipts = receipt_lines.groupBy(F.col("po_id").alias("matched_po_id")).agg(F.count_distinct("receipt_id").alias("receipts"))
+    m = invoices.select(*keys, "currency", "subtotal_minor", "status", "created_at").join(_heads(invoices, orders, total_tolerance_bp), keys, "left")
+    m = m.join(of_lines, "invoice_id", "left").join(o, ["tenant_id", "matched_po_id"], "left").join(on_order, "matched_po_id", "left")
+    m = m.join(receipts, "matched_po_id", "left").fillna(0, ["lines", "amounts", "po_lines", "receipts"])
+    credit = F.coalesce(F.col("subtotal_minor") < 0, F.lit(False)) | F.coalesce("negative", F.lit(False))
+    m = m.withColumns(
+        {
+            "credit": credit,
+            "currency_reason": F.when(F.col("currency") == F.col("po_currency"), None).when(F.coalesce("currency", F.lit("")) == "", "CURRENCY_UNKNOWN").otherwise("CURRENCY_DIFFERS_FROM_PO"),
+            "bill": F.coalesce("subtotal_minor", F.when((F.col("lines") > 0) & (F.col("amounts") == F.col("lines")), F.col("lines_minor"))),
+        }
+    )
+    compared = m.filter(F.col("matched_po_id").isNotNull() & ~F.col("credit")).select(*keys, "matched_po_id", "status", "created_at")
+    lines = invoice_lines.select("invoice_id", "line_no", "sku", "qty", "unit_price_minor").join(compared, "invoice_id")
+    pairs = pair_by_sku(lines, order_lines)
+    received = receipt_lines.groupBy("po_line_id").agg(F.sum("qty_received").alias("received"))
+    before = F.coalesce(F.sum(F.when(counted(), F.col("qty"))).over(_before("po_line_id")), F.lit(0).cast("decimal(28,4)"))
+    pairs = pairs.withColumn("billed", before + F.col("qty")).join(received, "po_line_id", "left")
+    gap = F.abs(F.col("unit_price_minor") - F.col("po_unit_price_minor"))
+    of_pairs = pairs.groupBy("invoice_id").agg(
+        F.count("*").alias("pairs"), F.count_if(F.col("unit_price_minor").isNull()).alias("unread_price"), F.count_if(F.col("qty").isNull()).alias("unread_qty"),
+        F.count_if(gap * 10000 > F.col("po_unit_price_minor") * price_tolerance_bp).alias("bad_price"),
+        F.count_if(F.col("billed") * 10000 > F.col("po_qty") * (10000 + qty_tolerance_bp)).alias("bad_qty"),
+        F.count_if(F.col("billed") > F.coalesce("received", F.lit(0))).alias("bad_received"),
+    )
+    counts = ["pairs", "unread_price", "unread_qty", "bad_price", "bad_qty", "bad_received"]
+    m = m.join(of_pairs, "invoice_id", "left").fillna(0, counts)
+    m = m.withColumn("billed_minor", F.when(~F.col("credit") & F.col("currency_reason").isNull(), F.col("bill")))
+    w = _before("tenant_id", "matched_po_id")
+    matched = F.col("matched_po_id").isNotNull()
+    m = m.withColumns(
+        {
+            "before_minor": F.when(matched, F.coalesce(F.sum(F.when(counted(), F.col("billed_minor"))).over(w), F.lit(0))),
+            "unknown": F.when(matched, F.coalesce(F.sum(F.when(counted(), F.col("billed_minor").isNull().cast("long") + F.col("unread_qty"))).over(w), F.lit(0))),
+        }
+    )
+    no_lines = F.when(F.col("lines") == 0, "NO_LINES").when(F.col("po_lines") == 0, "PO_HAS_NO_LINES")
+    first = F.when(~matched, "NO_PO").when(F.col("credit"), "CREDIT_NOTE")
+    over = F.col("before_minor") + F.col("bill") - F.col("po_total_minor")
+    no_subtotal = F.when(F.col("bill").isNull(), "NO_SUBTOTAL")
+
+    def rule(code: str, guard: Column, outcome: Column, reason: Column, cumulative: bool = False) -> Column:
+        guard = F.coalesce(first, guard)
+        out, why = F.when(guard.isNotNull(), "skipped").otherwise(outcome), F.coalesce(guard, reason)
+        if cumulative:
+            doubt = (out == "pass") & (F.col("unknown") > 0)
+            out, why = F.when(doubt, "skipped").otherwise(out), F.when(doubt, "EARLIER_BILLING_UNKNOWN").otherwise(why)
+        return F.struct(F.lit(code).alias("check_code"), out.alias("outcome"), F.when(out == "skipped", why).alias("reason"))
+
+    none = F.lit(None).cast("string")
+    price = _verdict(F.col("bad_price"), F.col("unread_price"), F.col("pairs"))
+    qty = _verdict(F.col("bad_qty") + F.col("lines") - F.col("pairs"), F.col("unread_qty"), F.col("pairs"))
+    got = _verdict(F.col("bad_received"), F.col("unread_qty"), F.col("pairs"))
+    no_receipt = F.when(F.col("receipts") == 0, "NO_RECEIPT")
+    plain = lambda code, out, why: F.struct(F.lit(code).alias("check_code"), F.col(out).alias("outcome"), F.col(why).alias("reason"))
+    rows = F.array(
+        plain("NO_PO", "no_po", "no_po_reason"), plain("PO_NOT_FOUND", "not_found", "not_found_reason"),
+        rule("PRICE_VARIANCE", F.coalesce(no_lines, F.col("currency_reason")), *price), rule("QTY_VARIANCE", no_lines, *qty, True),
+        rule("RECEIPT_MISSING", none, F.when(F.col("receipts") == 0, "fail").otherwise("pass"), none),
+        rule("QTY_NOT_RECEIVED", F.coalesce(no_lines, no_receipt), *got, True),
+        rule("PO_OVERBILLED", F.coalesce("currency_reason", no_subtotal), F.when(over > overbill_tolerance_minor, "fail").otherwise("pass"), none, True),
+    )
+    return m.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")

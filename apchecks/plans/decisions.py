@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, handoff, matching, operations, validate
+from ..operators import classify, duplicates, handoff, matching, operations, validate
 from ..sources.ap_view import WORLD_SQL, ApView
+from ..sources.shared import derived_once
 from . import checks
 
 LIMITS = {"USD": 20_000_000, "EUR": 15_000_000}
 EXPECTED = (
     "LINE_MATH_MISMATCH", "TOTAL_MISMATCH", "TAX_MISMATCH", "INVALID_DATE", "CURRENCY_MISMATCH", "UNKNOWN_SUPPLIER",
-    "BANK_DETAILS_CHANGED", "NO_PO",
+    "BANK_DETAILS_CHANGED", "POSSIBLE_DUPLICATE", "NO_PO", "PO_NOT_FOUND", "PRICE_VARIANCE", "QTY_VARIANCE", "RECEIPT_MISSING",
+    "QTY_NOT_RECEIVED", "PO_OVERBILLED",
 )
 TAX_TYPES = {0: "EXEMPTEXPENSES", 500: "INPUT5", 800: "INPUT8", 2000: "INPUT20"}
 _CODES = {
     "LINE_MATH_MISMATCH": "line_math", "TOTAL_MISMATCH": "totals", "TAX_MISMATCH": "tax", "INVALID_DATE": "dates",
-    "CURRENCY_MISMATCH": "currency", "UNKNOWN_SUPPLIER": "supplier_resolution", "BANK_DETAILS_CHANGED": "bank", "NO_PO": "po_inference",
+    "CURRENCY_MISMATCH": "currency", "UNKNOWN_SUPPLIER": "supplier_resolution", "BANK_DETAILS_CHANGED": "bank",
 }
 
 
-def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ApView(spark, sf_dir)
     facts = validate.with_lines(validate.resolve_suppliers(v.invoices, v.suppliers), v.invoice_lines)
-    inferred = matching.infer_orders(v.invoices, v.purchase_orders, 2000)
-    inferred = inferred.select("tenant_id", "invoice_id", F.lit("NO_PO").alias("check_code"), "outcome", F.when(F.col("outcome") == "skipped", F.col("reason")).alias("reason"))
-    return validate.all_checks(facts, checks.TODAY).unionByName(inferred).drop("tenant_id")
+    matched = matching.match_checks(v.invoices, v.purchase_orders, v.invoice_lines, v.po_lines, v.receipt_lines)
+    out = validate.all_checks(facts, checks.TODAY).unionByName(duplicates.check_duplicates(v.invoices)).unionByName(matched)
+    return out.drop("tenant_id")
+
+
+def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen checks of every invoice; kept once per session, since all decisions read it."""
+    return derived_once(spark, sf_dir, "ap-check-results", lambda: _check_results(spark, sf_dir))
 
 
 def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +47,7 @@ def missing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = check_results(spark, sf_dir)
     invoices = ApView(spark, sf_dir).invoices
-    missing = classify.missing_checks(results, invoices, tuple(c for c in EXPECTED if c != "NO_PO"))
+    missing = classify.missing_checks(results, invoices, EXPECTED)
     return classify.route(invoices, classify.exceptions(results), LIMITS, missing)
 
 
@@ -116,20 +123,81 @@ QUERIES = {
 _REASON = {
     "LINE_MATH_MISMATCH": "NULL", "TOTAL_MISMATCH": "NULL", "TAX_MISMATCH": "reason", "INVALID_DATE": "reasons",
     "CURRENCY_MISMATCH": "CASE WHEN supplier_currency IS NULL THEN 'UNKNOWN_SUPPLIER' END", "UNKNOWN_SUPPLIER": "'NOTHING_TO_MATCH'",
-    "BANK_DETAILS_CHANGED": "reason", "NO_PO": "reason",
+    "BANK_DETAILS_CHANGED": "reason",
 }
 _RESULTS = " UNION ALL ".join(
     f"SELECT invoice_id, '{code}' AS check_code, outcome, CASE WHEN outcome = 'skipped' THEN CAST({_REASON[code]} AS VARCHAR) END AS reason FROM ({checks.ORACLES[name]})"
     for code, name in _CODES.items()
 )
+_WHO = f"coalesce(CAST(supplier_id AS VARCHAR), '~' || nullif({checks._KEY.format('supplier_name')}, ''))"
+_BY_NAME = f" FROM (SELECT * REPLACE ({_WHO} AS supplier_id) FROM inv) inv WHERE status NOT IN"
+_DUPLICATES = f"""
+SELECT invoice_id, 'POSSIBLE_DUPLICATE' AS check_code, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN found THEN 'fail' ELSE 'pass' END AS outcome, why AS reason FROM (
+  SELECT invoice_id, CASE WHEN {_WHO} IS NULL THEN 'NO_SUPPLIER' WHEN {checks._NUM.format("invoice_number")} = '' THEN 'NO_INVOICE_NUMBER' END AS why,
+    invoice_id IN (SELECT invoice_id FROM ({checks.ORACLES["duplicate_hard"].replace(" FROM inv WHERE status NOT IN", _BY_NAME)})) OR
+    invoice_id IN (SELECT invoice_id FROM ({checks.ORACLES["duplicate_soft"].replace(" FROM inv WHERE status NOT IN", _BY_NAME)})) AS found
+  FROM ({WORLD_SQL} SELECT * FROM inv))"""
+_MATCHED = (
+    checks._FOUND
+    + checks._INFERRED.format(tolerance=200)
+    + f""", hd AS (
+  SELECT invoice_id, CASE WHEN reason IS NULL THEN o_id END AS mp, CASE WHEN reason = 'AMBIGUOUS_PO' THEN 'skipped' ELSE 'pass' END AS np, CASE WHEN reason = 'AMBIGUOUS_PO' THEN reason END AS npr,
+    CASE WHEN reason IS NULL OR reason = 'AMBIGUOUS_PO' THEN 'pass' WHEN reason = 'SUPPLIER_UNKNOWN' THEN 'skipped' ELSE 'fail' END AS nf, CASE WHEN reason = 'SUPPLIER_UNKNOWN' THEN reason END AS nfr FROM found
+  UNION ALL SELECT invoice_id, CASE WHEN candidates = 1 THEN first_po_id END, CASE WHEN reason = 'NO_OPEN_PO_WITH_MATCHING_TOTAL' THEN 'fail' ELSE 'skipped' END,
+    CASE WHEN reason <> 'NO_OPEN_PO_WITH_MATCHING_TOTAL' THEN reason END, 'pass', NULL FROM inferred
+), ln AS (
+  SELECT invoice_id, count(*) AS n, CASE WHEN count(amount_minor) = count(*) THEN sum(amount_minor) END AS amt, bool_or(coalesce(qty < 0, false) OR coalesce(amount_minor < 0, false)) AS neg FROM il GROUP BY 1
+), a0 AS (
+  SELECT inv.tenant_id, inv.invoice_id, inv.status, inv.created_at, hd.*, po.total_minor AS po_total, coalesce(ln.n, 0) AS n_lines, coalesce(inv.subtotal_minor, amt) AS bill,
+    coalesce(inv.subtotal_minor < 0, false) OR coalesce(neg, false) AS credit,
+    CASE WHEN inv.currency = po.currency THEN NULL WHEN inv.currency IS NULL THEN 'CURRENCY_UNKNOWN' ELSE 'CURRENCY_DIFFERS_FROM_PO' END AS cur_reason,
+    EXISTS (SELECT 1 FROM rec WHERE rec.po_id = mp) AS has_receipt
+  FROM inv JOIN hd ON hd.invoice_id = inv.invoice_id LEFT JOIN po ON po.po_id = mp AND po.tenant_id = inv.tenant_id LEFT JOIN ln ON ln.invoice_id = inv.invoice_id
+), b0_ AS (SELECT il.invoice_id, il.line_no, il.qty, il.unit_price_minor, mp, status, created_at, {checks._NUM.format("il.sku")} AS k FROM il JOIN a0 ON a0.invoice_id = il.invoice_id WHERE mp IS NOT NULL AND NOT credit)
+, c0 AS (SELECT * FROM b0_ WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY invoice_id, k ORDER BY line_no) = 1)
+, s0 AS (SELECT po_id, {checks._NUM.format("sku")} AS k, min(po_line_id) AS pl, min(q) AS pq, min(unit_price_minor) AS pu FROM pol GROUP BY ALL HAVING count(*) = 1)
+, pr AS (
+  SELECT c0.*, pl, pq, pu, qty + coalesce(sum(qty) FILTER (status NOT IN ('failed', 'rejected')) OVER (PARTITION BY pl ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS billed
+  FROM c0 JOIN s0 ON s0.po_id = mp AND s0.k = c0.k
+), rv AS (SELECT po_line_id, sum(qty_received) AS got FROM rec GROUP BY 1)
+, g AS (
+  SELECT invoice_id, count(*) AS n, count(*) FILTER (unit_price_minor IS NULL) AS up, count(*) FILTER (qty IS NULL) AS uq, count(*) FILTER (abs(unit_price_minor - pu) * 10000 > pu * 200) AS bp,
+    count(*) FILTER (billed > pq) AS bq, count(*) FILTER (billed > coalesce(got, 0)) AS br FROM pr LEFT JOIN rv ON po_line_id = pl GROUP BY 1
+), w0 AS (
+  SELECT a0.*, coalesce(n, 0) AS n_pairs, coalesce(up, 0) AS up, coalesce(uq, 0) AS uq, coalesce(bp, 0) AS bp, coalesce(bq, 0) AS bq, coalesce(br, 0) AS br,
+    CASE WHEN NOT credit AND cur_reason IS NULL THEN bill END AS billed FROM a0 LEFT JOIN g ON g.invoice_id = a0.invoice_id
+), w1 AS (
+  SELECT *, coalesce(sum(billed) FILTER (status NOT IN ('failed', 'rejected')) OVER w, 0) AS before_minor,
+    coalesce(sum(CASE WHEN billed IS NULL THEN 1 ELSE 0 END + uq) FILTER (status NOT IN ('failed', 'rejected')) OVER w, 0) AS unknown,
+    CASE WHEN mp IS NULL THEN 'NO_PO' WHEN credit THEN 'CREDIT_NOTE' END AS lead
+  FROM w0 WINDOW w AS (PARTITION BY tenant_id, mp ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r0 AS (
+  SELECT invoice_id, 'NO_PO' AS check_code, np AS outcome, npr AS reason, false AS cum, unknown FROM w1
+  UNION ALL SELECT invoice_id, 'PO_NOT_FOUND', nf, nfr, false, unknown FROM w1
+  UNION ALL SELECT invoice_id, 'PRICE_VARIANCE', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN cur_reason IS NOT NULL THEN cur_reason WHEN bp > 0 THEN 'fail' WHEN up > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, false, unknown FROM w1
+  UNION ALL SELECT invoice_id, 'QTY_VARIANCE', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN bq + n_lines - n_pairs > 0 THEN 'fail' WHEN uq > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, true, unknown FROM w1
+  UNION ALL SELECT invoice_id, 'RECEIPT_MISSING', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN NOT has_receipt THEN 'fail' END, false, unknown FROM w1
+  UNION ALL SELECT invoice_id, 'QTY_NOT_RECEIVED', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN NOT has_receipt THEN 'NO_RECEIPT' WHEN br > 0 THEN 'fail' WHEN uq > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, true, unknown FROM w1
+  UNION ALL SELECT invoice_id, 'PO_OVERBILLED', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN cur_reason IS NOT NULL THEN cur_reason WHEN bill IS NULL THEN 'NO_SUBTOTAL' WHEN before_minor + bill > po_total THEN 'fail' END, true, unknown FROM w1
+), r1 AS (
+  SELECT invoice_id, check_code, CASE WHEN outcome IS NOT NULL THEN outcome WHEN reason = 'fail' THEN 'fail' WHEN reason IS NOT NULL THEN 'skipped' WHEN cum AND unknown > 0 THEN 'skipped' ELSE 'pass' END AS outcome,
+    CASE WHEN reason = 'fail' THEN NULL WHEN reason IS NOT NULL THEN reason WHEN outcome IS NULL AND cum AND unknown > 0 THEN 'EARLIER_BILLING_UNKNOWN' END AS reason FROM r0
+)
+SELECT invoice_id, check_code, outcome, reason FROM r1"""
+)
+_RESULTS = f"{_RESULTS} UNION ALL SELECT * FROM ({_DUPLICATES}) UNION ALL SELECT * FROM ({_MATCHED})"
 _TAXONOMY = "VALUES " + ", ".join(f"({i}, '{c}', '{s}', '{w}', '{f}')" for i, (c, s, w, f) in enumerate(classify.TAXONOMY))
-_WORDS = "VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in classify.REASON_WORDS.items())
+_WORDS = "VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in classify.REASON_WORDS.items())
 _EXC = f"""WITH cr AS MATERIALIZED ({_RESULTS}), tx(ord, code, sev, subject, fix) AS ({_TAXONOMY}), rw(reason, words) AS ({_WORDS})
+, dv(reason, root) AS (VALUES ('UNKNOWN_SUPPLIER', 'UNKNOWN_SUPPLIER'), ('NO_PO', 'NO_PO'), ('NO_PO', 'PO_NOT_FOUND'), ('NO_RECEIPT', 'RECEIPT_MISSING'))
 , raised AS (
-  SELECT invoice_id, check_code FROM cr WHERE outcome = 'fail' OR (outcome = 'skipped' AND (coalesce(reason, '') NOT IN ('UNKNOWN_SUPPLIER', 'NO_PO', 'NO_RECEIPT') OR reason = check_code))
+  SELECT invoice_id, check_code FROM cr WHERE outcome = 'fail' OR (outcome = 'skipped' AND (coalesce(reason, '') NOT IN (SELECT reason FROM dv) OR (reason, check_code) IN (SELECT (reason, root) FROM dv)))
+), ex0 AS (
+  SELECT cr.*, ord FROM cr JOIN tx ON tx.code = check_code WHERE outcome <> 'pass' AND NOT (outcome = 'skipped' AND (coalesce(cr.reason, ''), check_code) NOT IN (SELECT (reason, root) FROM dv)
+    AND EXISTS (SELECT 1 FROM raised r JOIN dv ON dv.root = r.check_code WHERE dv.reason = cr.reason AND r.invoice_id = cr.invoice_id))
 ), ex AS (
-  SELECT cr.* FROM cr WHERE outcome <> 'pass' AND NOT (outcome = 'skipped' AND coalesce(reason, '') = 'UNKNOWN_SUPPLIER' AND check_code <> 'UNKNOWN_SUPPLIER'
-    AND EXISTS (SELECT 1 FROM raised r WHERE r.invoice_id = cr.invoice_id AND r.check_code = 'UNKNOWN_SUPPLIER'))
+  SELECT * FROM ex0 QUALIFY NOT (outcome = 'skipped' AND coalesce(reason, '') = 'CREDIT_NOTE')
+    OR ord = min(ord) FILTER (outcome = 'skipped' AND reason = 'CREDIT_NOTE') OVER (PARTITION BY invoice_id)
 ), exs AS (
   SELECT invoice_id, check_code AS code, CASE WHEN outcome = 'skipped' THEN 'review' ELSE sev END AS severity, outcome = 'skipped' AS unchecked,
     CASE WHEN outcome = 'skipped' THEN upper(subject[1]) || subject[2:] || ' could not be checked (' || CASE WHEN ex.reason IS NULL THEN 'no reason was recorded' ELSE coalesce(words, 'unrecognised reason ' || ex.reason) END

@@ -6,7 +6,6 @@ with another trigger. Progress and results live in a folder that the cluster sha
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,16 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import operations
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_path
 
 
 def finish_append(stream: DataFrame, name: str) -> DataFrame:
