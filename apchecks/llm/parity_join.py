@@ -90,7 +90,7 @@ def _entries_of(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nd
     rows = len(sizes)
     edges = band_edges(int(sizes.max(initial=1)), percent)
     limit = most_different(edges, percent)
-    spare = 2 + -(-limit // 4)
+    spare = 3 + -(-limit // 4)  # more than a set usually has empty blocks
     thin = spare // 2
     blocks = limit + 1 + spare
     need = spare + 1 - thin
