@@ -40,8 +40,16 @@ def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.exceptions(check_results(spark, sf_dir))
 
 
+def _written(results: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The results that a run has written that stopped before it matched invoices still being read."""
+    waiting = invoices.filter("status in ('received', 'failed')").select("invoice_id", F.lit(True).alias("waiting"))
+    r = results.join(waiting, "invoice_id", "left")
+    return r.filter(F.col("waiting").isNull() | F.col("check_code").isin(*_CODES)).drop("waiting")
+
+
 def missing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.missing_checks(check_results(spark, sf_dir), ApView(spark, sf_dir).invoices, EXPECTED)
+    invoices = ApView(spark, sf_dir).invoices
+    return classify.missing_checks(_written(check_results(spark, sf_dir), invoices), invoices, EXPECTED)
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +236,9 @@ ORACLES = {
     "exceptions": _EXC + "SELECT * FROM exs",
     "missing_checks": f"WITH cr AS MATERIALIZED ({_RESULTS}) SELECT inv.invoice_id, c.code AS check_code FROM {_INV} inv, (VALUES "
     + ", ".join(f"('{c}')" for c in EXPECTED)
-    + ") c(code) WHERE NOT EXISTS (SELECT 1 FROM cr WHERE cr.invoice_id = inv.invoice_id AND cr.check_code = c.code)",
+    + ") c(code) WHERE (inv.status IN ('received', 'failed') AND c.code NOT IN ("
+    + ", ".join(f"'{c}'" for c in _CODES)
+    + ")) OR NOT EXISTS (SELECT 1 FROM cr WHERE cr.invoice_id = inv.invoice_id AND cr.check_code = c.code)",
     "routing": _ROUTED + "SELECT invoice_id, status, route, reasons, open_exceptions, worst FROM routed",
     "review_queue": _ROUTED
     + "SELECT invoice_id, worst, open_exceptions, reasons FROM routed WHERE status = 'needs_review' ORDER BY worst DESC, created_at, invoice_id LIMIT 200",
