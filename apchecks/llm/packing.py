@@ -144,6 +144,5 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 204
                 out = []
         if out:
             yield batch_of(out)
-        enc.trim()
 
     return docs.mapInArrow(run, _SCHEMA)

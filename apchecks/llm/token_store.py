@@ -135,7 +135,6 @@ def write_shards(
                     writer.add(doc_id, ids + end)
                     n_docs += 1
                     n_tokens += len(ids) // 4 + 1
-        enc.trim()
         if sink is not None:
             writer.finish()
             sink.close()
