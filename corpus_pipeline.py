@@ -15,7 +15,11 @@ from apchecks.llm.queries import table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3."""
+    """Rows whose text's toxicity score is below 0.3, with all their columns.
+
+    Null and empty texts have no clauses, score lowest and stay; ids, ties and repeated rows play no part,
+    each row is judged by its whole text; an empty table gives no rows.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,7 +33,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated and cut as the mix takes them; n_chars follows the text."""
+    """Documents repeated and cut as the mix takes them; n_chars follows the text.
+
+    Null and wordless texts have size 0 and come once; rows without a source form the last source; rows
+    alike in id, source and size are told apart by a hash of the whole row, so that ties and repeats are
+    settled alike in every run; a text is cut once per source at most; an empty table gives no rows.
+    """
     mixed = mixing.mix(docs)
     if "n_chars" in mixed.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -37,7 +46,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 ids."""
+    """Pieces of sequences of at most 2048 ids, a row for each.
+
+    A null or empty text is its end id alone; rows without an id and repeated rows are packed like others;
+    texts longer than a sequence are cut; an empty table gives no rows.
+    """
     return packing.pack(docs, tokenizer_path(), end_id=1).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
