@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, decisions, extra, operations_queries, review_queries
+from . import checks, decisions, evidence_queries, extra, operations_queries, review_queries
 
-QUERIES = {**checks.QUERIES, **decisions.QUERIES, **operations_queries.QUERIES, **extra.QUERIES, **review_queries.QUERIES}
-ORACLES = {**checks.ORACLES, **decisions.ORACLES, **operations_queries.ORACLES, **extra.ORACLES, **review_queries.ORACLES}
+QUERIES = {**checks.QUERIES, **decisions.QUERIES, **operations_queries.QUERIES, **extra.QUERIES, **review_queries.QUERIES, **evidence_queries.QUERIES}
+ORACLES = {**checks.ORACLES, **decisions.ORACLES, **operations_queries.ORACLES, **extra.ORACLES, **review_queries.ORACLES, **evidence_queries.ORACLES}
