@@ -149,14 +149,14 @@ def nearest(
 
     Returns query_id, rank, vec_id, score (the Euclidean distance in double precision), nearest first,
     ties to the smaller vec_id. Rows of a query's own vec_id are no candidates of it; repeated rows
-    are candidates each. See `valid_vectors` for the rows that take part. An empty table gives no rows.
+    are candidates each, and of a repeated query id the vector that is smallest, component by component, asks. See `valid_vectors` for the rows that take part. An empty table gives no rows.
     """
     vectors = materialize(valid_vectors(embeddings), "vectors")
     n = vectors.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if n == 0:
         return embeddings.sparkSession.createDataFrame([], schema)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).select("vector").toArrow()
     books = embeddings.sparkSession.sparkContext.broadcast(train(_matrix(sample.column(0).combine_chunks()), threshold))
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def nearest(
     blocks = -(-n // block_rows)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     stored = coded.select(block.alias("block"), F.lit(0).alias("kind"), "vec_id", "vector", "codes")
-    asked = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = asked.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "vector",
         F.lit(None).cast("binary").alias("codes"),

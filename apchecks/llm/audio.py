@@ -28,8 +28,6 @@ TAPS = 32
 FRAME, HOP = 128, 64
 MELS = 16
 BLOCK = 32
-#: Samples worked on together: a multiple of DOWN * HOP, so that blocks meet at frame starts.
-CHUNK = DOWN * HOP * 2048
 OPEN_DB, CLOSE_DB = 1.5, 0.5
 
 
@@ -146,6 +144,23 @@ def blocks(mel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, BLOCK, MELS), np.stack((first, np.minimum(first + BLOCK, len(mel))), axis=1)
 
 
+def as_tensors(block: np.ndarray) -> pa.FixedShapeTensorArray:
+    """Blocks as an Arrow array of fixed-shape tensors (BLOCK, MELS)."""
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(block))
+
+
+def from_tensors(tensors: pa.FixedShapeTensorArray, frames: np.ndarray) -> np.ndarray:
+    """The log-mel frames that fixed-shape tensors hold, without the padding that their frame spans leave out."""
+    held = tensors.to_numpy_ndarray()
+    return np.concatenate([block[: b - a] for block, (a, b) in zip(held, frames)])
+
+
+def spans_ms(spans: np.ndarray, rate: int) -> str:
+    """Frame spans as times in milliseconds, "start-end" joined by commas."""
+    at = spans * (HOP * DOWN * 1000) // (UP * rate)
+    return ",".join(f"{a}-{b}" for a, b in at.tolist())
+
+
 def feature_text(mel: np.ndarray, spans: np.ndarray) -> str:
     """A short exact account: frames, active spans, and mean log-mel in hundredths."""
     mean = np.floor(mel.mean(axis=0, dtype=np.float64) * 100 + 0.5).astype(int)
@@ -251,27 +266,35 @@ def write_tensors(rows: DataFrame, folder: str) -> DataFrame:
 
 _DIGEST = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string"
+    "media_sha256 string, feature string, tensors long, active_ms string"
 )
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Checksums and features of stored media, all from the stored bytes."""
+    """Checksums and features of stored media, all from the stored bytes.
+
+    Log-mel frames pass through fixed-shape tensors, from which the feature is taken; ``tensors`` is their number
+    and ``active_ms`` the time spans of the active segments (empty where there is none). Null and empty texts are
+    one unit of spaces; long texts are worked on whole; repeated rows and null ids give a row each; equal media give
+    equal values; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for file in batch.column("media"):
                 data = file.as_py()
-                samples, _ = from_wav(data)
+                samples, rate = from_wav(data)
                 mel, spans = features(samples)
+                block, frames = blocks(mel)
+                stored = as_tensors(block)
                 row = (
                     len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data),
-                    hashlib.sha256(data).hexdigest(), feature_text(mel, spans),
+                    hashlib.sha256(data).hexdigest(), feature_text(from_tensors(stored, frames), spans), len(stored), spans_ms(spans, rate),
                 )
                 for column, value in zip(out, row):
                     column.append(value)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(out, types))],
                 names=[f.split()[0] for f in _DIGEST.split(", ")],

@@ -2,7 +2,10 @@
 
 import collections
 import itertools
+import hashlib
+import io
 import re
+import wave
 import struct
 import zlib
 
@@ -273,6 +276,15 @@ def test_audio_round_trip_and_resampling(spark):
         whole = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_bytes"]) == (len(raw), len(whole), zlib.crc32(whole[-16:]), len(whole) + 44)
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000)
+            w.writeframes(whole)
+        assert r["payload_sha256"] == hashlib.sha256(whole).hexdigest() and r["media_sha256"] == hashlib.sha256(file.getvalue()).hexdigest()
+        n_frames, active = r["feature"].split(";")[:2]
+        assert r["tensors"] == -(-int(n_frames) // audio.BLOCK)
+        spans = [tuple(map(int, x.split("-"))) for x in r["active_ms"].split(",") if x]
+        assert [len(spans), sum(b - a for a, b in spans)] == [int(active.split(":")[0]), 16 * int(active.split(":")[1])]
     assert got[9001]["feature"] == got[rows[0][0]]["feature"]
     made = audio.write_tensors(audio.tensors(media), _folder(spark)).collect()
     table = pa.ipc.open_file(made[0]["path"].removeprefix("file://")).read_all()
@@ -285,14 +297,49 @@ def _folder(spark):
     return fresh_path(spark, "tensors")
 
 
+def test_log_mel_against_a_direct_transform():
+    x = np.random.default_rng(9).standard_normal(700)
+    n = audio.FRAME
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    hertz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = mel(4000 / 2)
+    got = audio.log_mel(x.astype(np.float32))
+    assert len(got) == 1 + (len(x) - n) // audio.HOP
+    for i, row in enumerate(got):
+        power = np.abs(basis @ (x[i * audio.HOP : i * audio.HOP + n] * window)) ** 2
+        for j, value in enumerate(row):
+            low, mid, high = (hertz(top * (j + s) / (audio.MELS + 1)) for s in range(3))
+            energy = sum(p * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) for p, f in zip(power, np.arange(n // 2 + 1) * 4000 / n))
+            assert abs(value - np.log10(energy + 1e-6)) < 1e-3
+
+
+def test_tensors_keep_frames():
+    mel = np.random.default_rng(3).standard_normal((70, audio.MELS)).astype(np.float32)
+    block, frames = audio.blocks(mel)
+    kept = audio.as_tensors(block)
+    assert kept.type == pa.fixed_shape_tensor(pa.float32(), (audio.BLOCK, audio.MELS)) and len(kept) == 3
+    assert np.array_equal(audio.from_tensors(kept, frames), mel)
+
+
+def test_search_of_repeated_query_ids(spark):
+    rows = [(100, [3.0, 4.0]), (100, [1.0, 9.0]), (1, [1.0, 8.0]), (2, [3.0, 3.0]), (3, None), (None, [1.0, 1.0]), (4, [0.0, 0.0])]
+    got = anisotropic.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (100, 1, 1, 1.0), (100, 2, 2, round(40**0.5, 9)),
+    ]
+
+
 def test_segments_have_hysteresis():
     level = np.array([0, 0, 0, 2.0, 1.0, 1.0, 0.4, 1.0, 0, 0, 0, 0.0])
     assert audio.segments(level).tolist() == [[3, 6]]
 
 
-def test_search_recall(spark):
+@pytest.mark.parametrize("block_rows", [300, 8192])
+def test_search_recall(spark, block_rows):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = anisotropic.nearest(e, block_rows=300).toPandas()
+    got = anisotropic.nearest(e, block_rows=block_rows).toPandas()
     pdf = e.toPandas().sort_values("vec_id")
     x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
     hit = total = 0
