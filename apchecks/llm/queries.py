@@ -115,3 +115,19 @@ QUERIES |= {
     "op9_audio_features": op9_audio_features,
     "op10_anisotropic_search": op10_anisotropic_search,
 }
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _search_oracles() -> dict[str, str]:
+    from . import lexical
+
+    return {"op13_lexical_search": lexical.ORACLE}
+
+
+QUERIES |= {"op13_lexical_search": op13_lexical_search}
+ORACLES |= _search_oracles()
