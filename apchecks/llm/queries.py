@@ -131,3 +131,20 @@ def _search_oracles() -> dict[str, str]:
 
 QUERIES |= {"op13_lexical_search": op13_lexical_search}
 ORACLES |= _search_oracles()
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+
+    fixed = repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+    return fixed.withColumn("repaired_sha256", F.sha2(repair.rendered("repaired"), 256)).drop("repaired")
+
+
+def _repair_oracles() -> dict[str, str]:
+    from . import repair
+
+    return {"op12_conversation_repair": repair.ORACLE}
+
+
+QUERIES |= {"op12_conversation_repair": op12_conversation_repair}
+ORACLES |= _repair_oracles()
