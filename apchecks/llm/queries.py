@@ -148,3 +148,14 @@ def _repair_oracles() -> dict[str, str]:
 
 QUERIES |= {"op12_conversation_repair": op12_conversation_repair}
 ORACLES |= _repair_oracles()
+
+
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import personal
+
+    found = personal.find(table(spark, sf_dir, "documents"))
+    counts = [personal.counted("base", kind).alias(f"n_{kind}") for kind in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal.spans_text("base"), 256).alias("base_sha256"), personal.spans_text("spans").alias("spans"))
+
+
+QUERIES |= {"op11_personal_data": op11_personal_data}
