@@ -262,9 +262,10 @@ WITH RECURSIVE tab AS (
   SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
     CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM hashed, range(CASE WHEN f = 0 THEN 0 WHEN f = 3 THEN 2 ELSE 1 END) c(n)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM hurt
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM ordered
 ), marked AS (
   SELECT *, left(role, 1) AS c, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next_c,
     CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
