@@ -136,7 +136,7 @@ def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", numbers.score_field(own, tri(3), tri(5), tri(7)).cast("string").alias("confidence"))
 
 
-def text_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a document's third and fourth words stand in it as whole tokens, and whether its
     fifteenth character run of three letters stands as a currency code."""
     d = _table(spark, sf_dir, "documents")
@@ -170,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         daily_spend, running_spend, cache_hits, status_timeline, queue_health, exact_file_dedupe, upload_rules, parse_numbers, parse_money,
-        parse_dates, field_confidence, text_evidence, label_sample, eval_metrics, conversation_history,
+        parse_dates, field_confidence, words_in_text, label_sample, eval_metrics, conversation_history,
     )
 }
 
@@ -256,7 +256,7 @@ SELECT DISTINCT printed, CASE WHEN error IS NULL THEN CAST(CAST(v AS DATE) AS VA
 )
 SELECT doc_id, CAST(CAST(coalesce(least(b + CASE WHEN t = 1 THEN 0.15 ELSE 0 END + CASE WHEN r = 1 THEN 0.10 ELSE 0 END + CASE WHEN m = 1 THEN 0.10 ELSE 0 END + CASE WHEN b IS NULL THEN NULL ELSE 0 END,
   CASE WHEN b IS NULL THEN NULL WHEN t = 0 OR r = 0 OR m = 0 THEN 0.4 ELSE 1 END), 0) AS DECIMAL(5, 4)) AS VARCHAR) AS confidence FROM s""",
-    "text_evidence": """WITH s AS (SELECT doc_id, text, trim(regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '[\\W_]+', ' ', 'g')) AS q FROM documents)
+    "words_in_text": """WITH s AS (SELECT doc_id, text, trim(regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '[\\W_]+', ' ', 'g')) AS q FROM documents)
 , n AS (SELECT *, array_to_string(list_filter([string_split(q, ' ')[3], string_split(q, ' ')[4]], lambda x: x IS NOT NULL), ' ') AS needle FROM s)
 SELECT doc_id, needle, contains(' ' || q || ' ', ' ' || needle || ' ') AS found, contains(' ' || q || ' ', ' ' || substr(needle, 1, 2) || ' ' || substr(needle, 4, 50) || ' ') AS broken_found,
   regexp_matches(text, '(?i)(^|[^A-Za-z])EUR($|[^A-Za-z])') AS currency_seen FROM n""",

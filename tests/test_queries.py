@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -17,7 +18,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     def one(x):
         if x is None or (not isinstance(x, (list, tuple)) and pd.isna(x)):
             return ""
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
+        if isinstance(x, (bool, np.bool_)):
             return str(bool(x))
         try:
             return f"{float(x):.6f}"
