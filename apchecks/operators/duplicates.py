@@ -1,18 +1,32 @@
-"""Duplicate invoices: a later invoice against earlier ones of the same supplier."""
+"""Duplicate invoices: a later invoice against earlier ones of the same supplier.
+
+Two linked invoices have the same supplier when their records are the same. Without a record on either side
+the printed names decide; a linked and an unlinked invoice whose names could be one company written two
+ways, or that have no name to compare, leave the supplier uncertain. Every relation is an equality of one
+key, so that hard duplicates are a window and similar numbers a join inside such keys; only what is
+uncertain crosses suppliers, over the numbers of invoices without a record.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import canonical_key, number_key, number_similarity, text_key
+from ..functions.keys import canonical_key, name_key, number_key, ratio_200
+from .near_numbers import near_numbers
 
-NOT_COMPARABLE = ("pending", "received", "extracting", "failed")
+# Statuses of invoices that are not read and checked yet, and of those that have nothing to compare.
+PENDING = ("received", "extracting", "extracted")
+NOT_COMPARABLE = (*PENDING, "failed")
+#: Printed names less alike than this are different companies.
+DIFFERENT_COMPANY_BELOW = 60
+KEYS = ["tenant_id", "invoice_id"]
+ORDER = ("created_at", "invoice_id")
 
 
 def numbered(invoices: DataFrame) -> DataFrame:
-    """Comparable linked invoices with their number keys."""
-    i = invoices.filter(~F.col("status").isin(*NOT_COMPARABLE) & F.col("supplier_id").isNotNull())
+    """Linked invoices with their number keys, and whether they can be compared with (``old``)."""
+    i = invoices.filter(F.col("supplier_id").isNotNull()).withColumn("old", ~F.col("status").isin(*NOT_COMPARABLE))
     i = i.withColumn("number_key", number_key("invoice_number"))
     return i.withColumn("canonical", canonical_key("number_key"))
 
@@ -23,19 +37,21 @@ def hard_duplicates(invoices: DataFrame) -> DataFrame:
     One window per (tenant, supplier, number): no pairs are made.
     """
     i = numbered(invoices).filter("canonical <> ''")
-    order = Window.partitionBy("tenant_id", "supplier_id", "canonical").orderBy("created_at", "invoice_id")
-    first = lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    i = i.withColumns({"existing_invoice_id": first("invoice_id"), "existing_date": first(F.struct("invoice_date"))})
-    later = i.filter(F.col("existing_invoice_id") != F.col("invoice_id"))
-    return later.select(
-        "tenant_id", "invoice_id", "existing_invoice_id", F.abs(F.datediff("invoice_date", "existing_date.invoice_date")).alias("days_apart")
-    )
+    return _first_equal(i, ["supplier_id"]).select(*KEYS, "existing_invoice_id", "days_apart")
+
+
+def _first_equal(i: DataFrame, who: list[str]) -> DataFrame:
+    """Rows with an earlier ``old`` one of equal ``who`` and canonical number, the first of which is reported."""
+    before = Window.partitionBy("tenant_id", *who, "canonical").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("old"), F.struct(*ORDER, "invoice_date"))).over(before)
+    found = i.withColumn("first", first).filter(F.col("first").isNotNull())
+    return found.withColumns({"existing_invoice_id": F.col("first.invoice_id"), "days_apart": F.abs(F.datediff("invoice_date", "first.invoice_date"))})
 
 
 def compared_earlier(invoices: DataFrame) -> DataFrame:
     """How many earlier invoices of its supplier each invoice is compared with."""
-    order = Window.partitionBy("tenant_id", "supplier_id").orderBy("created_at", "invoice_id").rowsBetween(Window.unboundedPreceding, -1)
-    return numbered(invoices).select("tenant_id", "invoice_id", F.count("*").over(order).alias("compared"))
+    order = Window.partitionBy("tenant_id", "supplier_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    return numbered(invoices).select(*KEYS, F.count_if("old").over(order).alias("compared"))
 
 
 def complete() -> Column:
@@ -43,49 +59,124 @@ def complete() -> Column:
     return (F.col("total_minor") != 0) & F.col("invoice_date").isNotNull() & (F.coalesce("currency", F.lit("")) != "")
 
 
+def _earlier(at: str = "at", other: str = "o_at") -> Column:
+    return F.col(other) < F.col(at)
+
+
+def _most_alike(i: DataFrame, who: list[str], window_days: int, similarity_min: int) -> DataFrame:
+    """Per invoice the most similar earlier one of equal ``who``, currency and signed total and a near date.
+
+    Only groups of several invoices are looked at; inside them numbers are joined by what they share, so that
+    many invoices of one total make pairs only where their numbers are alike.
+    """
+    scope = ["tenant_id", *who, "cur", "total_minor"]
+    rows = i.filter(complete() & (F.col("number_key") != "")).withColumns({"cur": F.upper("currency"), "number": F.col("number_key"), "at": F.struct(*ORDER)})
+    size = Window.partitionBy(*scope)
+    rows = rows.withColumn("n", F.count("*").over(size)).filter("n > 1").select(*scope, "number", "canonical", "at", "invoice_date", "invoice_id", "old", "new")
+    pairs = near_numbers(rows.filter("new"), rows.filter("old"), scope, similarity_min)
+    later = rows.filter("new").withColumnRenamed("number", "a")
+    old = rows.filter("old").select(*scope, F.col("number").alias("b"), F.col("canonical").alias("o_canonical"), F.col("at").alias("o_at"), F.col("invoice_date").alias("o_date"))
+    met = later.join(pairs, [*scope, "a"]).join(old, [*scope, "b"])
+    days = F.abs(F.datediff("invoice_date", "o_date"))
+    alike = met.filter(_earlier() & (days <= window_days) & (F.col("canonical") != F.col("o_canonical")))
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "o_at", days.alias("days"))).alias("b")
+    return alike.groupBy(*KEYS).agg(best).select(
+        *KEYS, F.col("b.o_at.invoice_id").alias("existing_invoice_id"), F.round(-F.col("b.s"), 1).alias("similarity"), F.col("b.days").alias("days_apart")
+    )
+
+
 def soft_duplicates(invoices: DataFrame, window_days: int = 7, similarity_min: int = 85) -> DataFrame:
     """Later invoices with the same supplier, currency and signed total, a near date and a like number.
 
-    Dates are cut into buckets of the window, so the interval join is an equi-join with a neighbouring
-    bucket. Number similarity is only computed for pairs that agree in everything else. The most
-    similar earlier invoice is reported, of equals the first received.
+    The most similar earlier invoice is reported, of equals the first received.
     """
-    i = numbered(invoices).filter(complete() & (F.col("number_key") != ""))
-    width = max(window_days, 1)
-    bucket = F.floor(F.unix_date("invoice_date") / width)
-    keys = ["tenant_id", "supplier_id", "cur", "total_minor", "bucket"]
-    cols = ["tenant_id", "supplier_id", F.upper("currency").alias("cur"), "total_minor", "invoice_id", "created_at", "invoice_date", "number_key", "canonical"]
-    new = i.select(*cols, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    old = i.select(*cols, bucket.alias("bucket"))
-    for c in ("invoice_id", "created_at", "invoice_date", "number_key", "canonical"):
-        old = old.withColumnRenamed(c, f"o_{c}")
-    pairs = new.join(old, keys).filter(
-        (F.struct("o_created_at", "o_invoice_id") < F.struct(F.col("created_at").alias("o_created_at"), F.col("invoice_id").alias("o_invoice_id")))
-        & (F.abs(F.datediff("invoice_date", "o_invoice_date")) <= window_days)
-        & (F.col("canonical") != F.col("o_canonical"))
+    return _most_alike(numbered(invoices).withColumn("new", F.lit(True)), ["supplier_id"], window_days, similarity_min)
+
+
+def _related(invoices: DataFrame) -> DataFrame:
+    """A row per invoice and relation key: ``new`` where it may look for earlier ones, ``old`` where it may be found.
+
+    L: a supplier record, between linked invoices. U: a printed name, between any invoice and an unlinked
+    earlier one. W: a name in the same letters, between an unlinked invoice and a linked earlier one.
+    """
+    linked, name, lower = F.col("supplier_id").isNotNull(), F.col("name"), F.lower(F.coalesce("supplier_name", F.lit("")))
+    key = lambda kind, text, new, old: F.struct(F.concat(F.lit(kind), text).alias("who"), F.lit(new).alias("new"), F.lit(old).alias("may"))
+    named = lambda k: F.when(name != "", k)
+    of_linked = F.array(key("L", F.col("supplier_id").cast("string"), True, True), named(key("U", name, True, False)), F.when(lower != "", key("W", lower, False, True)))
+    of_others = F.array(named(key("U", name, True, True)), F.when(lower != "", key("W", lower, True, False)))
+    i = invoices.withColumns({"name": name_key("supplier_name"), "number_key": number_key("invoice_number")})
+    i = i.withColumns({"canonical": canonical_key("number_key"), "comparable": ~F.col("status").isin(*NOT_COMPARABLE)})
+    i = i.withColumn("r", F.explode(F.array_compact(F.when(linked, of_linked).otherwise(of_others))))
+    i = i.withColumns({"who": F.col("r.who"), "new": F.col("r.new"), "old": F.col("r.may") & F.col("comparable")}).drop("r")
+    return i.filter((F.col("number_key") != "") & (F.col("new") | F.col("old")))
+
+
+def _unevaluable(related: DataFrame, similarity_min: int) -> DataFrame:
+    """Invoices with an earlier one of the supplier and a like number where either lacks what the soft rule compares."""
+    scope = ["tenant_id", "who"]
+    rows = related.select(*scope, F.col("number_key").alias("number"), F.coalesce(complete(), F.lit(False)).alias("whole"), "new", "old", "invoice_id", F.struct(*ORDER).alias("at"))
+    lacking = rows.filter(~F.col("whole"))
+    concerned = rows.join(lacking.select(*scope).distinct(), scope, "left_semi")
+    pairs = near_numbers(lacking, concerned, scope, similarity_min)
+
+    def found(new: DataFrame, old: DataFrame, a: str, b: str) -> DataFrame:
+        first = old.filter("old").groupBy(*scope, F.col("number").alias(b)).agg(F.min("at").alias("o_at"))
+        met = new.filter("new").withColumnRenamed("number", a).join(pairs, [*scope, a]).join(first, [*scope, b])
+        return met.filter(_earlier()).select(*KEYS)
+
+    return found(lacking, concerned, "a", "b").unionByName(found(concerned, lacking, "b", "a")).distinct()
+
+
+def _uncertain(invoices: DataFrame, similarity_min: int) -> DataFrame:
+    """Invoices with an earlier unlinked one of a like number whose supplier may be the same or not.
+
+    Names are compared once per distinct pair of names that like numbers bring together.
+    """
+    rows = invoices.withColumns({"name": name_key("supplier_name"), "number": number_key("invoice_number"), "at": F.struct(*ORDER), "linked": F.col("supplier_id").isNotNull()})
+    rows = rows.filter("number <> '' and (linked or name <> '')").select("tenant_id", "name", "number", "linked", "invoice_id", "at", "status")
+    unlinked = invoices.filter(F.col("supplier_id").isNull() & ~F.col("status").isin(*NOT_COMPARABLE)).select(
+        "tenant_id", name_key("supplier_name").alias("o_name"), number_key("invoice_number").alias("number"), F.struct(*ORDER).alias("at")
     )
-    alike = pairs.withColumn("similarity", number_similarity("number_key", "o_number_key")).filter(F.col("similarity") >= similarity_min)
-    best = F.max_by(F.struct("o_invoice_id", "similarity", "invoice_date", "o_invoice_date"), F.struct("similarity", -F.unix_micros(F.col("o_created_at").cast("timestamp")), -F.col("o_invoice_id")))
-    found = alike.groupBy("tenant_id", "invoice_id").agg(best.alias("b"))
-    return found.select(
-        "tenant_id", "invoice_id", F.col("b.o_invoice_id").alias("existing_invoice_id"), F.round("b.similarity", 1).alias("similarity"),
-        F.abs(F.datediff("b.invoice_date", "b.o_invoice_date")).alias("days_apart"),
-    )
+    first = unlinked.filter("number <> ''").groupBy("tenant_id", "o_name", "number").agg(F.min("at").alias("o_at"))
+    pairs = near_numbers(rows, first, ["tenant_id"], similarity_min)
+    first = first.withColumnRenamed("number", "b")
+    met = rows.withColumnRenamed("number", "a").join(pairs, ["tenant_id", "a"]).join(first, ["tenant_id", "b"])
+    met = met.filter(_earlier() & (F.col("linked") | (F.col("o_name") == "")) & ((F.col("name") != F.col("o_name")) | (F.col("name") == "")))
+    nameless = (F.col("name") == "") | (F.col("o_name") == "")
+    ordered = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    names = met.filter(~nameless).select("name", "o_name").distinct()
+    least = 2 * F.least(F.length("name"), F.length("o_name"))
+    could = F.when(least * 100 >= DIFFERENT_COMPANY_BELOW * (F.length("name") + F.length("o_name")), ratio_200(ordered(F.col("name")), ordered(F.col("o_name"))) >= DIFFERENT_COMPANY_BELOW)
+    alike = names.filter(could)
+    return met.filter(nameless).select(*KEYS).unionByName(met.filter(~nameless).join(alike, ["name", "o_name"], "left_semi").select(*KEYS)).distinct()
 
 
 def check_duplicates(invoices: DataFrame, window_days: int = 7, similarity_min: int = 85) -> DataFrame:
-    """The duplicate check of every invoice: a hard duplicate before a soft one, else what could not be done.
+    """The duplicate check of every invoice against the comparable ones received before it.
 
-    Invoices without a supplier record are compared by the key of the printed name with others that have
-    none; without either, or without a number, the check is skipped.
+    In this order: no supplier or number to compare with is skipped; an equal number of the same supplier
+    fails; so does a like number with equal currency and total and a near date; a like number where the
+    soft rule lacks something, or where the supplier is uncertain, is skipped; so is what would pass while
+    earlier invoices of the tenant are still being read. ``supplier_id`` is the linked record.
     """
-    who = F.coalesce(F.col("supplier_id").cast("string"), F.concat(F.lit("~"), F.nullif(text_key("supplier_name"), F.lit(""))))
-    i = invoices.withColumn("supplier_id", who)
-    hard = hard_duplicates(i).select("tenant_id", "invoice_id", F.lit(True).alias("hard"))
-    soft = soft_duplicates(i, window_days, similarity_min).select("tenant_id", "invoice_id", F.lit(True).alias("soft"))
-    keys = ["tenant_id", "invoice_id"]
-    out = i.select(*keys, "supplier_id", number_key("invoice_number").alias("number")).join(hard, keys, "left").join(soft, keys, "left")
-    reason = F.when(F.col("supplier_id").isNull(), "NO_SUPPLIER").when(F.coalesce("number", F.lit("")) == "", "NO_INVOICE_NUMBER")
-    found = F.col("hard").isNotNull() | F.col("soft").isNotNull()
-    outcome = F.when(reason.isNotNull(), "skipped").when(found, "fail").otherwise("pass")
-    return out.select(*keys, F.lit("POSSIBLE_DUPLICATE").alias("check_code"), outcome.alias("outcome"), reason.alias("reason"))
+    i = invoices.select(*KEYS, "supplier_id", "supplier_name", "invoice_number", "invoice_date", "currency", "total_minor", "status", "created_at")
+    related = _related(i)
+    flag = lambda df, name: df.select(*KEYS, F.lit(name).alias("found")).distinct()
+    findings = flag(_first_equal(related, ["who"]).filter("new"), "hard")
+    findings = findings.unionByName(flag(_most_alike(related, ["who"], window_days, similarity_min), "soft"))
+    findings = findings.unionByName(flag(_unevaluable(related, similarity_min), "INCOMPLETE_FOR_SOFT_MATCH"))
+    findings = findings.unionByName(flag(_uncertain(i, similarity_min), "SUPPLIER_UNCERTAIN"))
+    findings = findings.groupBy(*KEYS).agg(F.collect_set("found").alias("found"))
+    waiting = i.filter(F.col("status").isin(*PENDING)).groupBy("tenant_id").agg(F.min(F.struct(*ORDER)).alias("pending"))
+    out = i.join(findings, KEYS, "left").join(waiting, "tenant_id", "left")
+    has = lambda name: F.coalesce(F.array_contains("found", name), F.lit(False))
+    nobody = F.col("supplier_id").isNull() & (name_key("supplier_name") == "")
+    first = F.when(nobody, "NO_SUPPLIER").when(number_key("invoice_number") == "", "NO_INVOICE_NUMBER")
+    doubt = (
+        F.when(has("INCOMPLETE_FOR_SOFT_MATCH"), "INCOMPLETE_FOR_SOFT_MATCH").when(has("SUPPLIER_UNCERTAIN"), "SUPPLIER_UNCERTAIN")
+        .when(F.coalesce(F.col("pending") < F.struct(*ORDER), F.lit(False)), "EARLIER_INVOICES_STILL_PENDING")
+    )
+    fails = has("hard") | has("soft")
+    reason = F.when(first.isNotNull(), first).when(~fails, doubt)
+    outcome = F.when(first.isNotNull(), "skipped").when(fails, "fail").when(doubt.isNotNull(), "skipped").otherwise("pass")
+    return out.select(*KEYS, F.lit("POSSIBLE_DUPLICATE").alias("check_code"), outcome.alias("outcome"), reason.alias("reason"))

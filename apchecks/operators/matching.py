@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import number_key
+from .duplicates import PENDING
+from .line_pairs import pair_rest
 
-NEVER_BILLED = ("failed", "rejected")
+#: Invoices that bill nothing: those never to be paid, and those not matched yet.
+NEVER_BILLED = ("failed", "rejected", *PENDING)
 RECEIVED_ORDER = ("created_at", "invoice_id")
 
 
@@ -151,6 +154,15 @@ def pair_by_sku(matched_lines: DataFrame, order_lines: DataFrame) -> DataFrame:
     return i.drop("po_line_id").join(only, ["matched_po_id", "sku_key"]).withColumn("method", F.lit("sku"))
 
 
+def pair_lines(matched_lines: DataFrame, order_lines: DataFrame) -> DataFrame:
+    """Invoice lines with the order line they bill, by SKU or else by description or amount."""
+    by_sku = pair_by_sku(matched_lines, order_lines)
+    rest = pair_rest(matched_lines, order_lines, by_sku)
+    o = order_lines.select("po_line_id", F.col("qty").alias("po_qty"), F.col("unit_price_minor").alias("po_unit_price_minor"))
+    by_rest = matched_lines.drop("po_line_id").join(rest, ["invoice_id", "line_no"]).join(o, "po_line_id")
+    return by_sku.drop("sku_key").unionByName(by_rest)
+
+
 def check_price(pairs: DataFrame, tolerance_bp: int = 200) -> DataFrame:
     """Paired lines whose unit price differs from the order's by more than the tolerance, either way."""
     gap = F.abs(F.col("unit_price_minor") - F.col("po_unit_price_minor"))
@@ -212,10 +224,11 @@ def match_checks(
 ) -> DataFrame:
     """All seven checks against orders, receipts and earlier billing: a row per invoice and code.
 
-    Lines are paired by SKU; an unpaired line counts as not on the order. A credit note is matched but not
-    compared, and counts as unknown billing for later invoices, as does one in another currency or with
-    unread quantities on paired lines: where earlier billing is unknown, a cumulative check can fail but not
-    pass. Two windows in received order, one per order and one per order line, see all invoices at once.
+    Lines are paired by SKU, then description, then amount; an unpaired line counts as not on the order. A
+    credit note is matched but not compared, and counts as unknown billing for later invoices, as does one in
+    another currency or with unread quantities on paired lines: where earlier billing is unknown, or earlier
+    invoices of the tenant are still being read, a cumulative check can fail but not pass. Two windows in
+    received order, one per order and one per order line, see all invoices at once.
     """
     keys = ["tenant_id", "invoice_id"]
     of_lines = invoice_lines.groupBy("invoice_id").agg(
@@ -239,8 +252,8 @@ def match_checks(
         }
     )
     compared = m.filter(F.col("matched_po_id").isNotNull() & ~F.col("credit")).select(*keys, "matched_po_id", "status", "created_at")
-    lines = invoice_lines.select("invoice_id", "line_no", "sku", "qty", "unit_price_minor").join(compared, "invoice_id")
-    pairs = pair_by_sku(lines, order_lines)
+    lines = invoice_lines.select("invoice_id", "line_no", "sku", "description", "amount_minor", "qty", "unit_price_minor").join(compared, "invoice_id")
+    pairs = pair_lines(lines, order_lines)
     received = receipt_lines.groupBy("po_line_id").agg(F.sum("qty_received").alias("received"))
     before = F.coalesce(F.sum(F.when(counted(), F.col("qty"))).over(_before("po_line_id")), F.lit(0).cast("decimal(28,4)"))
     pairs = pairs.withColumn("billed", before + F.col("qty")).join(received, "po_line_id", "left")
@@ -253,6 +266,8 @@ def match_checks(
     )
     counts = ["pairs", "unread_price", "unread_qty", "bad_price", "bad_qty", "bad_received"]
     m = m.join(of_pairs, "invoice_id", "left").fillna(0, counts)
+    waiting = invoices.filter(F.col("status").isin(*PENDING)).groupBy("tenant_id").agg(F.min(F.struct(*RECEIVED_ORDER)).alias("pending"))
+    m = m.join(waiting, "tenant_id", "left").withColumn("waits", F.coalesce(F.col("pending") < F.struct(*RECEIVED_ORDER), F.lit(False)))
     m = m.withColumn("billed_minor", F.when(~F.col("credit") & F.col("currency_reason").isNull(), F.col("bill")))
     w = _before("tenant_id", "matched_po_id")
     matched = F.col("matched_po_id").isNotNull()
@@ -271,8 +286,9 @@ def match_checks(
         guard = F.coalesce(first, guard)
         out, why = F.when(guard.isNotNull(), "skipped").otherwise(outcome), F.coalesce(guard, reason)
         if cumulative:
-            doubt = (out == "pass") & (F.col("unknown") > 0)
-            out, why = F.when(doubt, "skipped").otherwise(out), F.when(doubt, "EARLIER_BILLING_UNKNOWN").otherwise(why)
+            doubt = (out == "pass") & (F.col("waits") | (F.col("unknown") > 0))
+            cause = F.when(F.col("waits"), "EARLIER_INVOICES_STILL_PENDING").otherwise("EARLIER_BILLING_UNKNOWN")
+            out, why = F.when(doubt, "skipped").otherwise(out), F.when(doubt, cause).otherwise(why)
         return F.struct(F.lit(code).alias("check_code"), out.alias("outcome"), F.when(out == "skipped", why).alias("reason"))
 
     none = F.lit(None).cast("string")

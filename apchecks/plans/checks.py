@@ -120,6 +120,43 @@ QUERIES = {
 
 _KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _NUM = "coalesce(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
+#: Lines that no SKU settles, of the lines c_l (invoice_id, line_no, mp, k, description, amount_minor) and SKU pairs c_p (invoice_id,
+#: line_no, pl): by description, then by amount, a line at a time; the last table, rest, has invoice_id, line_no, pl and method.
+REST_SQL = """, u_l AS (
+  SELECT c_l.*, array_to_string(list_sort(string_split(trim(regexp_replace(lower(coalesce(description, '')), '[\\W_]+', ' ', 'g')), ' ')), ' ') AS t
+  FROM c_l ANTI JOIN c_p ON c_p.invoice_id = c_l.invoice_id AND c_p.line_no = c_l.line_no
+), u_o AS (
+  SELECT h.invoice_id, pol.po_line_id AS pl, pol.line_no AS pn, coalesce(regexp_replace(upper(sku), '[^A-Z0-9]', '', 'g'), '') AS k, pol.q * pol.unit_price_minor AS amount,
+    array_to_string(list_sort(string_split(trim(regexp_replace(lower(coalesce(description, '')), '[\\W_]+', ' ', 'g')), ' ')), ' ') AS t
+  FROM (SELECT DISTINCT invoice_id, mp FROM u_l) h JOIN pol ON pol.po_id = h.mp ANTI JOIN c_p ON c_p.invoice_id = h.invoice_id AND c_p.pl = pol.po_line_id
+), u_p AS (
+  SELECT l.invoice_id, l.line_no, pl, pn, l.t AS a, o.t AS b, l.amount_minor IS NOT DISTINCT FROM o.amount AND l.amount_minor IS NOT NULL AS same FROM u_l l JOIN u_o o ON o.invoice_id = l.invoice_id
+    AND (l.k = '' OR o.k = '' OR l.k = o.k)
+), u_t AS (SELECT DISTINCT a, b FROM u_p WHERE a <> '' AND a <> b AND levenshtein(a, b) * 4 <= len(a) + len(b))
+, u_c AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda z: 0::BIGINT) AS r FROM u_t
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len(b) + 1), lambda j: [j])),
+    lambda acc, j: list_append(acc, greatest(acc[len(acc)], r[j[1] + 1], CASE WHEN substr(b, j[1], 1) = substr(a, i + 1, 1) THEN r[j[1]] + 1 ELSE 0 END)))
+  FROM u_c WHERE i < len(a)
+), u_r AS (SELECT a, b, (200.0 * r[len(r)] / (len(a) + len(b)))::DOUBLE AS v FROM u_c WHERE i = len(a))
+, u_q AS (
+  SELECT invoice_id, line_no, list({'s': s, 'pl': pl} ORDER BY s DESC, pn) FILTER (s >= 0) AS words, list(pl ORDER BY pn) FILTER (same) AS sums FROM (
+    SELECT u_p.*, CASE WHEN u_p.a = '' THEN NULL WHEN u_p.a = u_p.b THEN 100.0 ELSE coalesce(v, 0) END AS s FROM u_p LEFT JOIN u_r ON u_r.a = u_p.a AND u_r.b = u_p.b) GROUP BY ALL
+), u_n AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_no) AS n, count(*) OVER (PARTITION BY invoice_id) AS m FROM u_q)
+, u_w AS (
+  SELECT invoice_id, 0::BIGINT AS n, []::BIGINT[] AS used, []::STRUCT(line_no BIGINT, pl BIGINT, method VARCHAR)[] AS got FROM (SELECT DISTINCT invoice_id FROM u_n)
+  UNION ALL
+  SELECT invoice_id, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, CASE WHEN pick IS NULL THEN got ELSE list_append(got, {'line_no': line_no, 'pl': pick, 'method': method}) END FROM (
+    SELECT *, CASE WHEN n <= m AND len(f) > 0 AND f[1].s >= 80 AND (len(f) = 1 OR f[1].s - f[2].s >= 5) THEN f[1].pl WHEN n > m AND NOT done AND len(g) = 1 THEN g[1] END AS pick,
+      CASE WHEN n <= m THEN 'description' ELSE 'amount' END AS method FROM (
+      SELECT w.invoice_id, w.n + 1 AS n, u_n.m, w.used, w.got, u_n.line_no, list_filter(coalesce(words, []), lambda o: NOT list_contains(w.used, o.pl)) AS f,
+        list_filter(coalesce(sums, []), lambda o: NOT list_contains(w.used, o)) AS g, list_contains(list_transform(w.got, lambda x: x.line_no), u_n.line_no) AS done
+      FROM u_w w JOIN u_n ON u_n.invoice_id = w.invoice_id AND u_n.n = CASE WHEN w.n < u_n.m THEN w.n + 1 ELSE w.n + 1 - u_n.m END WHERE w.n < 2 * u_n.m))
+), u_z AS (SELECT u_w.invoice_id, unnest(got) AS x FROM u_w JOIN (SELECT DISTINCT invoice_id, m FROM u_n) e ON e.invoice_id = u_w.invoice_id AND u_w.n = 2 * e.m)
+, rest AS (SELECT invoice_id, x.line_no AS line_no, x.pl AS pl, x.method AS method FROM u_z)
+"""
+_UNREAD = "('received', 'extracting', 'extracted', 'failed')"
 _CANON = "regexp_replace({0}, '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')"
 
 _RESOLVED = (
@@ -217,21 +254,22 @@ SELECT invoice_id, CASE WHEN e IS NULL THEN 'skipped' WHEN abs(e - tax_minor) <=
   WHEN bank_account_hash IS NOT NULL AND c_bank IS NULL THEN 'NO_BANK_ON_FILE' END AS reason FROM facts)
 SELECT invoice_id, CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN bank_account_hash IS NULL OR bank_account_hash = c_bank THEN 'pass' ELSE 'fail' END AS outcome, reason FROM x""",
     "duplicate_hard": WORLD_SQL
-    + f""", x AS (SELECT *, {_CANON.format(_NUM.format("invoice_number"))} AS c FROM inv WHERE status NOT IN ('pending', 'received', 'extracting', 'failed') AND supplier_id IS NOT NULL)
-, y AS (SELECT *, first_value(invoice_id) OVER w AS e, first_value(invoice_date) OVER w AS ed FROM x WHERE c <> '' WINDOW w AS (PARTITION BY tenant_id, supplier_id, c ORDER BY created_at, invoice_id))
-SELECT invoice_id, e AS existing_invoice_id, CAST(abs(invoice_date - ed) AS INTEGER) AS days_apart FROM y WHERE e <> invoice_id""",
+    + f""", x AS (SELECT *, {_CANON.format(_NUM.format("invoice_number"))} AS c, status NOT IN {_UNREAD} AS old FROM inv WHERE supplier_id IS NOT NULL)
+SELECT a.invoice_id, b.invoice_id AS existing_invoice_id, CAST(abs(a.invoice_date - b.invoice_date) AS INTEGER) AS days_apart
+FROM x a JOIN x b ON a.tenant_id = b.tenant_id AND a.supplier_id = b.supplier_id AND a.c = b.c AND b.old AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
+WHERE a.c <> '' QUALIFY row_number() OVER (PARTITION BY a.invoice_id ORDER BY b.created_at, b.invoice_id) = 1""",
     "duplicate_compared": WORLD_SQL
-    + """SELECT invoice_id, count(*) OVER (PARTITION BY tenant_id, supplier_id ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS compared
-FROM inv WHERE status NOT IN ('pending', 'received', 'extracting', 'failed') AND supplier_id IS NOT NULL""",
+    + f"""SELECT invoice_id, count(*) FILTER (status NOT IN {_UNREAD}) OVER (PARTITION BY tenant_id, supplier_id ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS compared
+FROM inv WHERE supplier_id IS NOT NULL""",
     "duplicate_soft": WORLD_SQL.replace("WITH sup", "WITH RECURSIVE sup", 1)
     + f""", x AS (
-  SELECT *, {_NUM.format("invoice_number")} AS k FROM inv WHERE status NOT IN ('pending', 'received', 'extracting', 'failed') AND supplier_id IS NOT NULL
+  SELECT *, {_NUM.format("invoice_number")} AS k, status NOT IN {_UNREAD} AS old FROM inv WHERE supplier_id IS NOT NULL
     AND total_minor <> 0 AND invoice_date IS NOT NULL AND currency IS NOT NULL
 ), y AS (SELECT *, {_CANON.format("k")} AS c, regexp_replace(k, '[^0-9]', '', 'g') AS d FROM x WHERE k <> '')
 , p AS (
   SELECT a.invoice_id, b.invoice_id AS o, a.k AS ka, b.k AS kb, a.c AS ca, b.c AS cb, a.d AS da, b.d AS db, abs(a.invoice_date - b.invoice_date) AS days, b.created_at AS oc
   FROM y a JOIN y b ON a.tenant_id = b.tenant_id AND a.supplier_id = b.supplier_id AND a.currency = b.currency AND a.total_minor = b.total_minor
-    AND abs(a.invoice_date - b.invoice_date) <= 7 AND a.c <> b.c AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
+    AND abs(a.invoice_date - b.invoice_date) <= 7 AND a.c <> b.c AND b.old AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
 ), s AS (SELECT ka AS a, kb AS b FROM p UNION SELECT ca, cb FROM p UNION SELECT da, db FROM p)
 , cells AS (
   SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda z: 0::BIGINT) AS r FROM s
@@ -266,8 +304,8 @@ LEFT JOIN (SELECT po_line_id, sum(qty_received) AS q1 FROM rec GROUP BY 1) a USI
   FROM inv JOIN m USING (invoice_id) JOIN po ON po.po_id = matched_po_id AND po.tenant_id = inv.tenant_id
 ), k AS (SELECT *, CASE WHEN reason IS NULL THEN subtotal_minor END AS billed_minor FROM j)
 , b AS (
-  SELECT *, CAST(coalesce(sum(billed_minor) FILTER (status NOT IN ('failed', 'rejected')) OVER w, 0) AS BIGINT) AS billed_before_minor,
-    count(*) FILTER (status NOT IN ('failed', 'rejected') AND billed_minor IS NULL) OVER w AS unknown_before
+  SELECT *, CAST(coalesce(sum(billed_minor) FILTER (status NOT IN ('failed', 'rejected', 'received', 'extracting', 'extracted')) OVER w, 0) AS BIGINT) AS billed_before_minor,
+    count(*) FILTER (status NOT IN ('failed', 'rejected', 'received', 'extracting', 'extracted') AND billed_minor IS NULL) OVER w AS unknown_before
   FROM k WINDOW w AS (PARTITION BY tenant_id, matched_po_id ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), z AS (SELECT *, billed_before_minor + billed_minor - po_total AS over_minor FROM b)
 SELECT invoice_id, matched_po_id, CASE WHEN reason IS NOT NULL OR (over_minor <= 0 AND unknown_before > 0) THEN 'skipped' WHEN over_minor > 0 THEN 'fail' ELSE 'pass' END AS outcome,
@@ -279,7 +317,7 @@ SELECT invoice_id, matched_po_id, CASE WHEN reason IS NOT NULL OR (over_minor <=
     "qty_variance": _PAIRS
     + """, r AS (SELECT po_line_id, sum(qty_received) AS received FROM rec GROUP BY 1), rn AS (SELECT DISTINCT po_id FROM rec)
 , b AS (
-  SELECT *, CAST(coalesce(sum(qty) FILTER (status NOT IN ('failed', 'rejected')) OVER (PARTITION BY po_line_id ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM pairs
+  SELECT *, CAST(coalesce(sum(qty) FILTER (status NOT IN ('failed', 'rejected', 'received', 'extracting', 'extracted')) OVER (PARTITION BY po_line_id ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM pairs
 )
 SELECT invoice_id, line_no, b.po_line_id, CASE WHEN qty IS NULL THEN 'skipped' WHEN before + qty > po_qty THEN 'fail' ELSE 'pass' END AS qty_outcome,
   CASE WHEN rn.po_id IS NULL THEN 'skipped' WHEN qty IS NULL THEN 'skipped' WHEN before + qty > coalesce(received, 0) THEN 'fail' ELSE 'pass' END AS received_outcome,

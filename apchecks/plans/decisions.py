@@ -23,11 +23,20 @@ _CODES = {
 }
 
 
+def linked_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices with what their suppliers resolve to, kept once per session; ``supplier_id`` is the resolved record."""
+    v = ApView(spark, sf_dir)
+    resolved = lambda: validate.resolve_suppliers(v.invoices, v.suppliers).withColumn("supplier_id", F.col("s_supplier_id"))
+    return derived_once(spark, sf_dir, "ap-linked", resolved)
+
+
 def _check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are linked first; duplicates and orders are then those of the linked supplier."""
     v = ApView(spark, sf_dir)
-    facts = validate.with_lines(validate.resolve_suppliers(v.invoices, v.suppliers), v.invoice_lines)
-    matched = matching.match_checks(v.invoices, v.purchase_orders, v.invoice_lines, v.po_lines, v.receipt_lines)
-    out = validate.all_checks(facts, checks.TODAY).unionByName(duplicates.check_duplicates(v.invoices)).unionByName(matched)
+    linked = linked_invoices(spark, sf_dir)
+    facts = validate.with_lines(linked, v.invoice_lines)
+    matched = matching.match_checks(linked, v.purchase_orders, v.invoice_lines, v.po_lines, v.receipt_lines)
+    out = validate.all_checks(facts, checks.TODAY).unionByName(duplicates.check_duplicates(linked)).unionByName(matched)
     return out.drop("tenant_id")
 
 
@@ -137,18 +146,65 @@ _RESULTS = " UNION ALL ".join(
     f"SELECT invoice_id, '{code}' AS check_code, outcome, CASE WHEN outcome = 'skipped' THEN CAST({_REASON[code]} AS VARCHAR) END AS reason FROM ({checks.ORACLES[name]})"
     for code, name in _CODES.items()
 )
-_WHO = f"coalesce(CAST(supplier_id AS VARCHAR), '~' || nullif({checks._KEY.format('supplier_name')}, ''))"
-_BY_NAME = f" FROM (SELECT * REPLACE ({_WHO} AS supplier_id) FROM inv) inv WHERE status NOT IN"
-_DUPLICATES = f"""
-SELECT invoice_id, 'POSSIBLE_DUPLICATE' AS check_code, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN found THEN 'fail' ELSE 'pass' END AS outcome, why AS reason FROM (
-  SELECT invoice_id, CASE WHEN {_WHO} IS NULL THEN 'NO_SUPPLIER' WHEN {checks._NUM.format("invoice_number")} = '' THEN 'NO_INVOICE_NUMBER' END AS why,
-    invoice_id IN (SELECT invoice_id FROM ({checks.ORACLES["duplicate_hard"].replace(" FROM inv WHERE status NOT IN", _BY_NAME)})) OR
-    invoice_id IN (SELECT invoice_id FROM ({checks.ORACLES["duplicate_soft"].replace(" FROM inv WHERE status NOT IN", _BY_NAME)})) AS found
-  FROM ({WORLD_SQL} SELECT * FROM inv))"""
+#: Invoices with the supplier record that their printed name and tax id resolve to.
+_LINKED = checks._RESOLVED + ", linked AS (SELECT inv.* REPLACE (facts.s_id AS supplier_id) FROM inv JOIN facts USING (invoice_id))"
+
+
+def _of_linked(sql: str) -> str:
+    """SQL after the world's tables, reading linked invoices."""
+    return sql.removeprefix(WORLD_SQL).replace("FROM inv", "FROM linked inv").replace("JOIN inv", "JOIN linked inv")
+
+
+_DUPLICATES = (
+    _LINKED.replace("WITH sup", "WITH RECURSIVE sup", 1)
+    + f""", c0 AS (
+  SELECT *, coalesce({checks._KEY.format("supplier_name")}, '') AS nk, lower(coalesce(supplier_name, '')) AS lw, {checks._NUM.format("invoice_number")} AS k,
+    coalesce(total_minor <> 0 AND invoice_date IS NOT NULL AND currency <> '', false) AS whole, status NOT IN {checks._UNREAD} AS old FROM linked
+), c1 AS (
+  SELECT *, {checks._CANON.format("k")} AS c, regexp_replace(k, '[^0-9]', '', 'g') AS d, array_to_string(list_sort(string_split(nk, ' ')), ' ') AS sk FROM c0
+), lk AS (SELECT * FROM c1 WHERE k <> '' AND (supplier_id IS NOT NULL OR nk <> ''))
+, ol AS (SELECT * FROM c1 WHERE k <> '' AND old)
+, met AS (
+  SELECT a.invoice_id AS i, b.invoice_id AS o, true AS same FROM lk a JOIN ol b ON a.tenant_id = b.tenant_id AND a.supplier_id = b.supplier_id AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
+  UNION ALL SELECT a.invoice_id, b.invoice_id, true FROM lk a JOIN ol b ON a.tenant_id = b.tenant_id AND b.supplier_id IS NULL AND a.nk = b.nk AND a.nk <> '' AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
+  UNION ALL SELECT a.invoice_id, b.invoice_id, true FROM lk a JOIN ol b ON a.tenant_id = b.tenant_id AND a.supplier_id IS NULL AND b.supplier_id IS NOT NULL AND a.lw = b.lw AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
+  UNION ALL SELECT a.invoice_id, b.invoice_id, false FROM lk a JOIN ol b ON a.tenant_id = b.tenant_id AND b.supplier_id IS NULL AND (a.supplier_id IS NOT NULL OR b.nk = '') AND (a.nk <> b.nk OR a.nk = '')
+    AND (b.created_at, b.invoice_id) < (a.created_at, a.invoice_id)
+), near AS (
+  SELECT i, o, same, a.c = b.c AS equal, a.k AS ka, b.k AS kb, a.c AS ca, b.c AS cb, a.d AS da, b.d AS db, a.sk AS na, b.sk AS nb
+  FROM met JOIN c1 a ON a.invoice_id = i JOIN c1 b ON b.invoice_id = o
+  WHERE a.c = b.c OR levenshtein(a.k, b.k) * 20 <= 3 * (len(a.k) + len(b.k)) OR levenshtein(a.c, b.c) * 20 <= 3 * (len(a.c) + len(b.c))
+    OR (len(a.d) >= 4 AND len(b.d) >= 4 AND levenshtein(a.d, b.d) * 20 <= 3 * (len(a.d) + len(b.d)))
+), texts AS (SELECT ka AS a, kb AS b FROM near UNION SELECT ca, cb FROM near UNION SELECT da, db FROM near UNION SELECT na, nb FROM near WHERE NOT same)
+, cells AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda z: 0::BIGINT) AS r FROM texts
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len(b) + 1), lambda j: [j])),
+    lambda acc, j: list_append(acc, greatest(acc[len(acc)], r[j[1] + 1], CASE WHEN substr(b, j[1], 1) = substr(a, i + 1, 1) THEN r[j[1]] + 1 ELSE 0 END)))
+  FROM cells WHERE i < len(a)
+), ratio AS (SELECT a, b, CASE WHEN len(a) + len(b) = 0 THEN 100.0 ELSE 200.0 * r[len(r)] / (len(a) + len(b)) END::DOUBLE AS v FROM cells WHERE i = len(a))
+, sim AS (
+  SELECT near.*, greatest(r1.v, r2.v, CASE WHEN len(da) >= 4 AND len(db) >= 4 THEN r3.v ELSE 0 END) >= 85 AS alike, na = '' OR nb = '' OR r4.v >= 60 AS doubt
+  FROM near JOIN ratio r1 ON r1.a = ka AND r1.b = kb JOIN ratio r2 ON r2.a = ca AND r2.b = cb JOIN ratio r3 ON r3.a = da AND r3.b = db LEFT JOIN ratio r4 ON r4.a = na AND r4.b = nb
+), told AS (
+  SELECT i, bool_or(same AND equal) AS hard,
+    bool_or(same AND alike AND a.whole AND b.whole AND upper(a.currency) = upper(b.currency) AND a.total_minor = b.total_minor AND abs(a.invoice_date - b.invoice_date) <= 7) AS soft,
+    bool_or(same AND alike AND NOT (a.whole AND b.whole)) AS lacking, bool_or(NOT same AND alike AND doubt) AS unsure
+  FROM sim JOIN c1 a ON a.invoice_id = i JOIN c1 b ON b.invoice_id = o GROUP BY i
+), wait AS (SELECT tenant_id, min((created_at, invoice_id)) AS first FROM linked WHERE status IN ('received', 'extracting', 'extracted') GROUP BY 1)
+, said AS (
+  SELECT invoice_id, CASE WHEN supplier_id IS NULL AND nk = '' THEN 'NO_SUPPLIER' WHEN k = '' THEN 'NO_INVOICE_NUMBER' END AS why, coalesce(hard OR soft, false) AS found,
+    CASE WHEN lacking THEN 'INCOMPLETE_FOR_SOFT_MATCH' WHEN unsure THEN 'SUPPLIER_UNCERTAIN' WHEN wait.first < (created_at, invoice_id) THEN 'EARLIER_INVOICES_STILL_PENDING' END AS later
+  FROM c1 LEFT JOIN told ON i = invoice_id LEFT JOIN wait ON wait.tenant_id = c1.tenant_id
+)
+SELECT invoice_id, 'POSSIBLE_DUPLICATE' AS check_code, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN found THEN 'fail' WHEN later IS NOT NULL THEN 'skipped' ELSE 'pass' END AS outcome,
+  coalesce(why, CASE WHEN NOT found THEN later END) AS reason FROM said"""
+)
 _MATCHED = (
-    checks._FOUND
-    + checks._INFERRED.format(tolerance=200)
-    + f""", hd AS (
+    _LINKED.replace("WITH sup", "WITH RECURSIVE sup", 1)
+    + _of_linked(checks._FOUND)
+    + _of_linked(checks._INFERRED.format(tolerance=200))
+    + _of_linked(f""", hd AS (
   SELECT invoice_id, CASE WHEN reason IS NULL THEN o_id END AS mp, CASE WHEN reason = 'AMBIGUOUS_PO' THEN 'skipped' ELSE 'pass' END AS np, CASE WHEN reason = 'AMBIGUOUS_PO' THEN reason END AS npr,
     CASE WHEN reason IS NULL OR reason = 'AMBIGUOUS_PO' THEN 'pass' WHEN reason = 'SUPPLIER_UNKNOWN' THEN 'skipped' ELSE 'fail' END AS nf, CASE WHEN reason = 'SUPPLIER_UNKNOWN' THEN reason END AS nfr FROM found
   UNION ALL SELECT invoice_id, CASE WHEN candidates = 1 THEN first_po_id END, CASE WHEN reason = 'NO_OPEN_PO_WITH_MATCHING_TOTAL' THEN 'fail' ELSE 'skipped' END,
@@ -161,12 +217,18 @@ _MATCHED = (
     CASE WHEN inv.currency = po.currency THEN NULL WHEN inv.currency IS NULL THEN 'CURRENCY_UNKNOWN' ELSE 'CURRENCY_DIFFERS_FROM_PO' END AS cur_reason,
     EXISTS (SELECT 1 FROM rec WHERE rec.po_id = mp) AS has_receipt
   FROM inv JOIN hd ON hd.invoice_id = inv.invoice_id LEFT JOIN po ON po.po_id = mp AND po.tenant_id = inv.tenant_id LEFT JOIN ln ON ln.invoice_id = inv.invoice_id
-), b0_ AS (SELECT il.invoice_id, il.line_no, il.qty, il.unit_price_minor, mp, status, created_at, {checks._NUM.format("il.sku")} AS k FROM il JOIN a0 ON a0.invoice_id = il.invoice_id WHERE mp IS NOT NULL AND NOT credit)
+), b0_ AS (SELECT il.invoice_id, il.line_no, il.qty, il.unit_price_minor, il.amount_minor, il.description, mp, status, created_at, {checks._NUM.format("il.sku")} AS k FROM il JOIN a0 ON a0.invoice_id = il.invoice_id WHERE mp IS NOT NULL AND NOT credit)
 , c0 AS (SELECT * FROM b0_ WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY invoice_id, k ORDER BY line_no) = 1)
 , s0 AS (SELECT po_id, {checks._NUM.format("sku")} AS k, min(po_line_id) AS pl, min(q) AS pq, min(unit_price_minor) AS pu FROM pol GROUP BY ALL HAVING count(*) = 1)
-, pr AS (
-  SELECT c0.*, pl, pq, pu, qty + coalesce(sum(qty) FILTER (status NOT IN ('failed', 'rejected')) OVER (PARTITION BY pl ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS billed
-  FROM c0 JOIN s0 ON s0.po_id = mp AND s0.k = c0.k
+, c_l AS (SELECT * FROM b0_)
+, c_p AS (SELECT c0.*, pl, pq, pu FROM c0 JOIN s0 ON s0.po_id = mp AND s0.k = c0.k)
+{checks.REST_SQL}
+, c_a AS (
+  SELECT invoice_id, line_no, qty, unit_price_minor, status, created_at, pl, pq, pu FROM c_p
+  UNION ALL SELECT l.invoice_id, l.line_no, l.qty, l.unit_price_minor, l.status, l.created_at, rest.pl, pol.q, pol.unit_price_minor FROM rest JOIN c_l l ON l.invoice_id = rest.invoice_id AND l.line_no = rest.line_no JOIN pol ON pol.po_line_id = rest.pl
+), pr AS (
+  SELECT c_a.*, qty + coalesce(sum(qty) FILTER (status NOT IN ('failed', 'rejected', 'received', 'extracting', 'extracted')) OVER (PARTITION BY pl ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS billed
+  FROM c_a
 ), rv AS (SELECT po_line_id, sum(qty_received) AS got FROM rec GROUP BY 1)
 , g AS (
   SELECT invoice_id, count(*) AS n, count(*) FILTER (unit_price_minor IS NULL) AS up, count(*) FILTER (qty IS NULL) AS uq, count(*) FILTER (abs(unit_price_minor - pu) * 10000 > pu * 200) AS bp,
@@ -175,23 +237,24 @@ _MATCHED = (
   SELECT a0.*, coalesce(n, 0) AS n_pairs, coalesce(up, 0) AS up, coalesce(uq, 0) AS uq, coalesce(bp, 0) AS bp, coalesce(bq, 0) AS bq, coalesce(br, 0) AS br,
     CASE WHEN NOT credit AND cur_reason IS NULL THEN bill END AS billed FROM a0 LEFT JOIN g ON g.invoice_id = a0.invoice_id
 ), w1 AS (
-  SELECT *, coalesce(sum(billed) FILTER (status NOT IN ('failed', 'rejected')) OVER w, 0) AS before_minor,
-    coalesce(sum(CASE WHEN billed IS NULL THEN 1 ELSE 0 END + uq) FILTER (status NOT IN ('failed', 'rejected')) OVER w, 0) AS unknown,
+  SELECT w0.*, coalesce(wait.first < (created_at, invoice_id), false) AS waits, coalesce(sum(billed) FILTER (status NOT IN ('failed', 'rejected', 'received', 'extracting', 'extracted')) OVER w, 0) AS before_minor,
+    coalesce(sum(CASE WHEN billed IS NULL THEN 1 ELSE 0 END + uq) FILTER (status NOT IN ('failed', 'rejected', 'received', 'extracting', 'extracted')) OVER w, 0) AS unknown,
     CASE WHEN mp IS NULL THEN 'NO_PO' WHEN credit THEN 'CREDIT_NOTE' END AS lead
-  FROM w0 WINDOW w AS (PARTITION BY tenant_id, mp ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), r0 AS (
-  SELECT invoice_id, 'NO_PO' AS check_code, np AS outcome, npr AS reason, false AS cum, unknown FROM w1
-  UNION ALL SELECT invoice_id, 'PO_NOT_FOUND', nf, nfr, false, unknown FROM w1
-  UNION ALL SELECT invoice_id, 'PRICE_VARIANCE', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN cur_reason IS NOT NULL THEN cur_reason WHEN bp > 0 THEN 'fail' WHEN up > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, false, unknown FROM w1
-  UNION ALL SELECT invoice_id, 'QTY_VARIANCE', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN bq + n_lines - n_pairs > 0 THEN 'fail' WHEN uq > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, true, unknown FROM w1
-  UNION ALL SELECT invoice_id, 'RECEIPT_MISSING', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN NOT has_receipt THEN 'fail' END, false, unknown FROM w1
-  UNION ALL SELECT invoice_id, 'QTY_NOT_RECEIVED', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN NOT has_receipt THEN 'NO_RECEIPT' WHEN br > 0 THEN 'fail' WHEN uq > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, true, unknown FROM w1
-  UNION ALL SELECT invoice_id, 'PO_OVERBILLED', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN cur_reason IS NOT NULL THEN cur_reason WHEN bill IS NULL THEN 'NO_SUBTOTAL' WHEN before_minor + bill > po_total THEN 'fail' END, true, unknown FROM w1
-), r1 AS (
-  SELECT invoice_id, check_code, CASE WHEN outcome IS NOT NULL THEN outcome WHEN reason = 'fail' THEN 'fail' WHEN reason IS NOT NULL THEN 'skipped' WHEN cum AND unknown > 0 THEN 'skipped' ELSE 'pass' END AS outcome,
-    CASE WHEN reason = 'fail' THEN NULL WHEN reason IS NOT NULL THEN reason WHEN outcome IS NULL AND cum AND unknown > 0 THEN 'EARLIER_BILLING_UNKNOWN' END AS reason FROM r0
+  FROM w0 LEFT JOIN (SELECT tenant_id, min((created_at, invoice_id)) AS first FROM inv WHERE status IN ('received', 'extracting', 'extracted') GROUP BY 1) wait ON wait.tenant_id = w0.tenant_id
+  WINDOW w AS (PARTITION BY w0.tenant_id, mp ORDER BY created_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), z0 AS (
+  SELECT invoice_id, 'NO_PO' AS check_code, np AS outcome, npr AS reason, false AS cum, unknown, waits FROM w1
+  UNION ALL SELECT invoice_id, 'PO_NOT_FOUND', nf, nfr, false, unknown, waits FROM w1
+  UNION ALL SELECT invoice_id, 'PRICE_VARIANCE', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN cur_reason IS NOT NULL THEN cur_reason WHEN bp > 0 THEN 'fail' WHEN up > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, false, unknown, waits FROM w1
+  UNION ALL SELECT invoice_id, 'QTY_VARIANCE', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN bq + n_lines - n_pairs > 0 THEN 'fail' WHEN uq > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, true, unknown, waits FROM w1
+  UNION ALL SELECT invoice_id, 'RECEIPT_MISSING', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN NOT has_receipt THEN 'fail' END, false, unknown, waits FROM w1
+  UNION ALL SELECT invoice_id, 'QTY_NOT_RECEIVED', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN n_lines = 0 THEN 'NO_LINES' WHEN NOT has_receipt THEN 'NO_RECEIPT' WHEN br > 0 THEN 'fail' WHEN uq > 0 THEN 'UNREADABLE_LINE' WHEN n_pairs = 0 THEN 'NO_MATCHED_LINES' END, true, unknown, waits FROM w1
+  UNION ALL SELECT invoice_id, 'PO_OVERBILLED', NULL, CASE WHEN lead IS NOT NULL THEN lead WHEN cur_reason IS NOT NULL THEN cur_reason WHEN bill IS NULL THEN 'NO_SUBTOTAL' WHEN before_minor + bill > po_total THEN 'fail' END, true, unknown, waits FROM w1
+), z1 AS (
+  SELECT invoice_id, check_code, CASE WHEN outcome IS NOT NULL THEN outcome WHEN reason = 'fail' THEN 'fail' WHEN reason IS NOT NULL THEN 'skipped' WHEN cum AND (waits OR unknown > 0) THEN 'skipped' ELSE 'pass' END AS outcome,
+    CASE WHEN reason = 'fail' THEN NULL WHEN reason IS NOT NULL THEN reason WHEN outcome IS NULL AND cum AND waits THEN 'EARLIER_INVOICES_STILL_PENDING' WHEN outcome IS NULL AND cum AND unknown > 0 THEN 'EARLIER_BILLING_UNKNOWN' END AS reason FROM z0
 )
-SELECT invoice_id, check_code, outcome, reason FROM r1"""
+SELECT invoice_id, check_code, outcome, reason FROM z1""")
 )
 _RESULTS = f"{_RESULTS} UNION ALL SELECT * FROM ({_DUPLICATES}) UNION ALL SELECT * FROM ({_MATCHED})"
 _TAXONOMY = "VALUES " + ", ".join(f"({i}, '{c}', '{s}', '{w}', '{f}')" for i, (c, s, w, f) in enumerate(classify.TAXONOMY))

@@ -17,6 +17,9 @@ from .shared import derived_once
 
 CURRENCIES = ("USD", "EUR", "GBP")
 TAX_RATES_BP = (0, 500, 800, 1900, 2000)
+#: Of the invoices from this day on, three of five are still being read.
+FRESH = "2001-08-01"
+UNREAD = ("received", "extracted", "extracting")
 
 
 def _pick(values: tuple, index: Column) -> Column:
@@ -127,7 +130,7 @@ class ApView:
         heads = p.groupBy("po_id").agg(F.min_by("sk", "line_no").alias("supplier_id")).join(s, "supplier_id")
         rows = p.select(
             (F.col("po_id") * 3 + F.when(F.col("rf") == "A", 0).when(F.col("rf") == "N", 1).otherwise(2)).alias("invoice_id"),
-            "po_id", "line_no", sku.alias("sku"), "description",
+            "po_id", "line_no", sku.alias("sku"), F.when(_hits(at, 22), None).when(_hits(at, 33), F.upper(F.concat("description", F.lit(" x")))).otherwise(F.col("description")).alias("description"),
             F.when(~_hits(at, 83), qty).cast("decimal(18,4)").alias("qty"), unit.alias("unit_price_minor"),
             F.when(~_hits(at, 97), amount).alias("amount_minor"), "ship", "po_line_id",
         )
@@ -145,25 +148,30 @@ class ApView:
         ok, sk = F.col("po_id"), F.col("sk")
         h = heads.join(s, "sk").withColumn("subtotal_minor", F.col("amounts") + F.when(_hits(ok, 29), 100).otherwise(0))
         h = h.withColumn("tax_minor", F.expr("(subtotal_minor * coalesce(tax_rate_bp, 800) + 5000) div 10000") + F.when(_hits(ok, 31), 3).otherwise(0))
-        total = F.when(_hits(ok, 73), None).when(_hits(ok, 5), 50000).otherwise(F.col("subtotal_minor") + F.col("tax_minor") + F.when(_hits(ok, 37), 5).otherwise(0))
-        n = F.col("invoice_id") % 997
-        known = ~_hits(ok, 43) & ~_hits(ok, 53)
+        total = F.when(_hits(ok, 73) | (ok % 90 == 45), None).when(_hits(ok, 5), 50000).otherwise(F.col("subtotal_minor") + F.col("tax_minor") + F.when(_hits(ok, 37), 5).otherwise(0))
+        one, alike = _hits(ok, 17), _hits(ok, 15)  # orders whose invoices share a number, or have like ones
+        n = (F.when(one | alike, ok * 3).otherwise(F.col("invoice_id")) * 48271) % 8999993 + 1000000
+        n = F.when(alike & ~one, n - n % 10 + F.col("invoice_id") % 3).otherwise(n)
+        renamed = (ok % 34 == 17) & _hits(F.col("invoice_id"), 3)  # no record, and a name that could be another's
+        known = ~_hits(ok, 43) & ~_hits(ok, 53) & ~renamed
+        fresh = F.col("day") >= F.lit(FRESH).cast("date")
+        order_day = F.max("day").over(Window.partitionBy("po_id"))
         return h.select(
             "tenant_id", "invoice_id", "po_id", sk.alias("true_supplier_id"),
             F.when(known, sk).alias("supplier_id"),
             F.when(_hits(ok, 53), None).when(_hits(ok, 43), _text("Unknown Vendor ", ok % 10))
-            .when(_hits(ok, 2), F.upper(F.regexp_replace("name", "#", "  "))).otherwise(F.col("name")).alias("supplier_name"),
+            .when(renamed, F.concat("name", F.lit(" Ltd"))).when(_hits(ok, 2), F.upper(F.regexp_replace("name", "#", "  "))).otherwise(F.col("name")).alias("supplier_name"),
             F.when(_hits(ok, 3), None).when(_hits(ok, 47), _text("TX-", sk + 1)).otherwise(_text("tx-", sk)).alias("supplier_tax_id"),
             F.when(_hits(ok, 61), None).when(_hits(ok, 59), F.sha2(_text("other-", sk), 256)).otherwise(F.sha2(_text("bank-", sk), 256)).alias("bank_account_hash"),
             (_hits(ok, 61) & _hits(ok, 2)).alias("bank_absence_certain"),
-            F.when(_hits(ok, 103), None).when(_hits(ok, 2), _text("INV-", F.lpad(n.cast("string"), 5, "0"))).otherwise(_text("inv ", n)).alias("invoice_number"),
-            F.when(~_hits(ok, 79), F.col("day")).alias("invoice_date"),
+            F.when(_hits(ok, 103), None).when(_hits(ok, 2), _text("INV-", F.lpad(n.cast("string"), 9, "0"))).otherwise(_text("inv ", n)).alias("invoice_number"),
+            F.when(~_hits(ok, 79), F.when(alike, order_day).otherwise(F.col("day"))).alias("invoice_date"),
             F.when(_hits(ok, 67), F.date_sub("day", 1)).otherwise(F.date_add("day", 30)).alias("due_date"),
             F.when(_hits(ok, 107), None).when(_hits(ok, 41), "JPY").otherwise(F.col("default_currency")).alias("currency"),
             F.when(_hits(ok, 107), "$").alias("printed_currency"),
             "subtotal_minor", "tax_minor", total.alias("total_minor"),
             F.when(_hits(ok, 7), None).when(_hits(ok, 19), _text("PO-9", ok, "9")).when(_hits(ok, 2), _text("po", ok)).otherwise(_text("PO-", ok)).alias("po_number"),
-            F.when(_hits(F.col("invoice_id"), 101), "received").when(_hits(F.col("invoice_id"), 97), "failed")
+            F.when(fresh & (F.col("invoice_id") % 5 < 3), _pick(UNREAD, F.col("invoice_id") % 5)).when(_hits(F.col("invoice_id"), 97), "failed")
             .when(_hits(F.col("invoice_id"), 89), "rejected").otherwise("checking").alias("status"),
             F.col("day").cast("timestamp_ntz").alias("created_at"),
         )
@@ -194,7 +202,8 @@ WITH sup AS (
   UNION ALL SELECT po_id * 2 + 1, po_id, po_line_id, 1 FROM pol WHERE po_id % 13 <> 0 AND line_no % 2 = 0
 ), il AS (
   SELECT po_id * 3 + CASE rf WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS invoice_id, po_id, line_no,
-    CASE WHEN (po_id + line_no) % 11 = 0 THEN NULL WHEN po_id % 5 = 0 THEN 'sku ' || pk ELSE sku END AS sku, description,
+    CASE WHEN (po_id + line_no) % 11 = 0 THEN NULL WHEN po_id % 5 = 0 THEN 'sku ' || pk ELSE sku END AS sku,
+    CASE WHEN (po_id + line_no) % 22 = 0 THEN NULL WHEN (po_id + line_no) % 33 = 0 THEN upper(description || ' x') ELSE description END AS description,
     CASE WHEN (po_id + line_no) % 83 <> 0 THEN q + CASE WHEN tax >= 8 THEN 1 ELSE 0 END END AS qty,
     unit_price_minor + CASE WHEN disc >= 9 THEN unit_price_minor // 20 ELSE 0 END AS unit_price_minor,
     CASE WHEN (po_id + line_no) % 97 <> 0 THEN (q + CASE WHEN tax >= 8 THEN 1 ELSE 0 END) * (unit_price_minor + CASE WHEN disc >= 9 THEN unit_price_minor // 20 ELSE 0 END)
@@ -206,19 +215,24 @@ WITH sup AS (
 ), h2 AS (
   SELECT h.*, name, default_currency, (subtotal_minor * coalesce(tax_rate_bp, 800) + 5000) // 10000 + CASE WHEN po_id % 31 = 0 THEN 3 ELSE 0 END AS tax_minor
   FROM h JOIN sup ON sup.supplier_id = h.sk
+), h3 AS (
+  SELECT *, max(day) OVER (PARTITION BY po_id) AS order_day, po_id % 34 = 17 AND invoice_id % 3 = 0 AS renamed,
+    (CASE WHEN po_id % 17 = 0 OR po_id % 15 = 0 THEN po_id * 3 ELSE invoice_id END * 48271) % 8999993 + 1000000 AS n0 FROM h2
+), h4 AS (
+  SELECT *, CASE WHEN po_id % 15 = 0 AND po_id % 17 <> 0 THEN n0 - n0 % 10 + invoice_id % 3 ELSE n0 END AS n FROM h3
 ), inv AS (
-  SELECT tenant_id, invoice_id, po_id, sk AS true_supplier_id, CASE WHEN po_id % 43 <> 0 AND po_id % 53 <> 0 THEN sk END AS supplier_id,
-    CASE WHEN po_id % 53 = 0 THEN NULL WHEN po_id % 43 = 0 THEN 'Unknown Vendor ' || (po_id % 10) WHEN po_id % 2 = 0 THEN upper(replace(name, '#', '  ')) ELSE name END AS supplier_name,
+  SELECT tenant_id, invoice_id, po_id, sk AS true_supplier_id, CASE WHEN po_id % 43 <> 0 AND po_id % 53 <> 0 AND NOT renamed THEN sk END AS supplier_id,
+    CASE WHEN po_id % 53 = 0 THEN NULL WHEN po_id % 43 = 0 THEN 'Unknown Vendor ' || (po_id % 10) WHEN renamed THEN name || ' Ltd' WHEN po_id % 2 = 0 THEN upper(replace(name, '#', '  ')) ELSE name END AS supplier_name,
     CASE WHEN po_id % 3 = 0 THEN NULL WHEN po_id % 47 = 0 THEN 'TX-' || (sk + 1) ELSE 'tx-' || sk END AS supplier_tax_id,
     CASE WHEN po_id % 61 = 0 THEN NULL WHEN po_id % 59 = 0 THEN sha256('other-' || sk) ELSE sha256('bank-' || sk) END AS bank_account_hash,
     po_id % 61 = 0 AND po_id % 2 = 0 AS bank_absence_certain,
-    CASE WHEN po_id % 103 = 0 THEN NULL WHEN po_id % 2 = 0 THEN 'INV-' || lpad(CAST(invoice_id % 997 AS VARCHAR), 5, '0') ELSE 'inv ' || (invoice_id % 997) END AS invoice_number,
-    CASE WHEN po_id % 79 <> 0 THEN day END AS invoice_date, CAST(CASE WHEN po_id % 67 = 0 THEN day - 1 ELSE day + 30 END AS DATE) AS due_date,
+    CASE WHEN po_id % 103 = 0 THEN NULL WHEN po_id % 2 = 0 THEN 'INV-' || lpad(CAST(n AS VARCHAR), 9, '0') ELSE 'inv ' || n END AS invoice_number,
+    CASE WHEN po_id % 79 <> 0 THEN CASE WHEN po_id % 15 = 0 THEN order_day ELSE day END END AS invoice_date, CAST(CASE WHEN po_id % 67 = 0 THEN day - 1 ELSE day + 30 END AS DATE) AS due_date,
     CASE WHEN po_id % 107 = 0 THEN NULL WHEN po_id % 41 = 0 THEN 'JPY' ELSE default_currency END AS currency,
     CASE WHEN po_id % 107 = 0 THEN '$' END AS printed_currency, subtotal_minor, tax_minor,
-    CASE WHEN po_id % 73 = 0 THEN NULL WHEN po_id % 5 = 0 THEN 50000 ELSE subtotal_minor + tax_minor + CASE WHEN po_id % 37 = 0 THEN 5 ELSE 0 END END AS total_minor,
+    CASE WHEN po_id % 73 = 0 OR po_id % 90 = 45 THEN NULL WHEN po_id % 5 = 0 THEN 50000 ELSE subtotal_minor + tax_minor + CASE WHEN po_id % 37 = 0 THEN 5 ELSE 0 END END AS total_minor,
     CASE WHEN po_id % 7 = 0 THEN NULL WHEN po_id % 19 = 0 THEN 'PO-9' || po_id || '9' WHEN po_id % 2 = 0 THEN 'po' || po_id ELSE 'PO-' || po_id END AS po_number,
-    CASE WHEN invoice_id % 101 = 0 THEN 'received' WHEN invoice_id % 97 = 0 THEN 'failed' WHEN invoice_id % 89 = 0 THEN 'rejected' ELSE 'checking' END AS status,
-    CAST(day AS TIMESTAMP) AS created_at FROM h2
+    CASE WHEN day >= DATE '2001-08-01' AND invoice_id % 5 < 3 THEN ['received', 'extracted', 'extracting'][invoice_id % 5 + 1] WHEN invoice_id % 97 = 0 THEN 'failed' WHEN invoice_id % 89 = 0 THEN 'rejected' ELSE 'checking' END AS status,
+    CAST(day AS TIMESTAMP) AS created_at FROM h4
 )
 """
