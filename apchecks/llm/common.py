@@ -1,30 +1,24 @@
-"""Shared folder and materialisation used by the operators."""
+"""Intermediate tables and Arrow batches of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_path as fresh_path
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Arrow batches of texts hold at most so many bytes.
+BATCH_BYTES = 8 << 20
 
-    On a single machine (a local master, as in tests) that names none, a temporary folder is made and
-    set; on a cluster a missing setting is an error, since a machine's own folder would lose data.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches of long texts be small: a task holds several copies of one, in the JVM and in Python.
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    A smaller setting of the user's stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 LEAF_BITS = 12
 LEVEL_BITS = 4
@@ -129,8 +129,8 @@ def mix_plan(
 
     Returns doc_id, source, size (words), source_size, target (the source's), copies (whole copies),
     cut (words of one more, partial copy) and taken (words in all). A null source is a source of its
-    own, the last; a null or empty text has no words and nothing is taken of it, though it is kept in
-    the result; null ids hash as one value; repeated rows count each; an empty table gives no rows;
+    own, the last; a text without words (null, empty or blank) comes once, whatever its source's rate, and
+    nothing is taken of it; null ids hash as one value; repeated rows count each; an empty table gives no rows;
     other columns are ignored.
     """
     return _plan(documents, F.xxhash64("text"), weights, share, at_most, seed).drop("row_hash")
@@ -144,9 +144,10 @@ def _plan(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
         row_hash.alias("row_hash"),
     )
-    docs = materialize(docs, "mix-sizes")
+    scratch = Scratch(documents.sparkSession, "mix")
+    docs = scratch.save(docs, "sizes")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, share, at_most), "mix-targets")
+    targets = scratch.save(source_targets(sizes, weights, share, at_most), "targets")
     h = F.xxhash64(F.lit(seed), "doc_id")
     named = docs.withColumn("named", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     keys = targets.select(
@@ -163,7 +164,7 @@ def _plan(
     done = []
     open_rows = state
     for shift in (*range(0, LEAF_BITS, LEVEL_BITS), LEAF_BITS):
-        level = materialize(_level(open_rows, shift), "mix-level")
+        level = scratch.save(_level(open_rows, shift), f"level-{shift}")
         fractional = (F.col("p") > 0) & (F.col("p") < 1) & (F.col("size") > 0)
         open_rows = level.filter(fractional)
         done.append(level.filter(~fractional) if shift < LEAF_BITS else level)
@@ -171,13 +172,16 @@ def _plan(
     for more in done[1:]:
         out = out.unionByName(more)
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
-    copies = F.col("copies") + F.when(F.col("p") >= 1, 1).otherwise(0)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies") + F.when(F.col("p") >= 1, 1).otherwise(0))
     cut = F.when(fractional, F.round(F.col("p") * F.col("size"))).otherwise(0).cast("long")
     names = targets.select("rank", "source")
-    return out.join(names, "rank").select(
+    plan = out.join(names, "rank").select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), cut.alias("cut"),
         (copies * F.col("size") + cut).cast("long").alias("taken"), "row_hash",
     )
+    plan = materialize(plan, "mix-plan")
+    scratch.drop(*list(scratch.paths))
+    return plan
 
 
 def _row_hash(documents: DataFrame) -> Column:
@@ -190,8 +194,8 @@ def mix(documents: DataFrame, **settings) -> DataFrame:
     """The mixed rows: each document's row once per copy, and the cut text where a part is taken.
 
     Only rows that agree in all columns count as repeats of one document; they are known by a hash of
-    the row beside doc_id, source and size. Documents without words have nothing to take and so do not
-    appear.
+    the row beside doc_id, source and size. Documents without words have nothing to take and come once for
+    each of their rows.
     """
     row_hash = _row_hash(documents)
     plan = _plan(documents, row_hash, **settings)

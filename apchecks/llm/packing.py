@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import GROUP_TEXTS, encoder
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -105,6 +106,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 204
     rows are packed like others; an empty table gives no rows; other columns are ignored. Tasks pack
     their own input, so a lost task is packed again to the same result from the same split.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 

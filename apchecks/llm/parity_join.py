@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize
+from .common import Scratch, materialize, small_batches
 from .graph import components
 from .idfilter import hits, key_filter
 from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashes, words
@@ -354,6 +354,7 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ``row_key`` is the xxhash64 of doc_id and text, which tells rows apart; ``group_key`` names the
     row's group also where none of its rows has a doc_id (null for texts without words).
     """
+    small_batches(documents.sparkSession)
     scratch = Scratch(documents.sparkSession, "parity")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
@@ -371,7 +372,9 @@ def groups(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     placed = placed.join(least, "root").select("n", "k1", "k2", F.col("root").alias("group_key"), "component_id")
     out = base.select("row_key", "doc_id", "n", "k1", "k2").join(placed, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row_key", "group_key")
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row_key", "group_key"), "parity-groups")
+    scratch.drop(*list(scratch.paths))
+    return out
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -395,7 +398,6 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts without words form no groups, so all such rows stay. Columns and values are kept as they are.
     """
     found = groups(documents, k, percent).filter("group_key is not null")
-    found = materialize(found.select("row_key", "doc_id", "group_key"), "parity-groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
     several = found.groupBy("group_key").agg(best.alias("stays"), F.count("*").alias("rows")).filter("rows > 1").select("group_key", "stays")
     touched = materialize(found.join(several, "group_key").select(F.col("row_key").alias("id"), "stays").distinct(), "parity-touched")

@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize, small_batches
 from .idfilter import hits, key_filter
 from .textops import (
     NOT_ALNUM,
@@ -58,8 +59,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(7)
 BEGINNINGS = (0, 4, 5, 6, 7, 8)
 #: So many lexicon entries are broadcast, by evidence; the others are joined.
 MAX_BROADCAST = 1 << 19
-#: A document counts for a word beginning by the distinct words in it that share it, up to so many.
-MOST_WORDS = 4
+#: Clause scores above this count as this in the curve.
+HIGHEST = 30.0
 _FILTER_BITS = 20
 #: Bits of the filter of the entries that are joined, as a power of two; a fixed size.
 _REST_BITS = 24
@@ -255,8 +256,11 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def _feature_counts(labelled: DataFrame) -> DataFrame:
-    """For each feature the training documents that hold it, by label and by part (a: folds 0 and 3)."""
+def _feature_counts(labelled: DataFrame, most_words: int) -> DataFrame:
+    """For each feature the training documents that hold it, by label and by part (a: folds 0 and 3).
+
+    A document counts for a word beginning by the distinct words in it that share it, up to ``most_words``.
+    """
 
     seeds = np.sort(_seed_hashes(INSULTS))
 
@@ -288,7 +292,7 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
                 order = np.lexsort((keys, rows))
                 edge = np.ones(len(order) + 1, dtype=bool)
                 edge[1:-1] = (keys[order][1:] != keys[order][:-1]) | (rows[order][1:] != rows[order][:-1])
-                weight = np.minimum(np.diff(np.flatnonzero(edge)), MOST_WORDS) if len(order) else np.zeros(0)
+                weight = np.minimum(np.diff(np.flatnonzero(edge)), most_words) if len(order) else np.zeros(0)
                 unique, inverse = np.unique(v, return_inverse=True)
                 one, late = toxic[owner] == 1, part[owner] == 1
                 masks = (one, ~one, one & late, ~one & late)
@@ -390,10 +394,16 @@ def _with_rest(docs: DataFrame, rest: DataFrame) -> DataFrame:
     return named.join(of_text.hint("merge"), ["text_1", "text_2"], "left").drop("text_1", "text_2")
 
 
-def _apply(docs: DataFrame, model: Model, rest: DataFrame | None, columns: str) -> DataFrame:
-    """Append the clause columns to ``docs`` (whose text column is "text"), row by row."""
+def _apply(docs: DataFrame, model: Model, rest: DataFrame | None, columns: str, inside: str | None = None) -> DataFrame:
+    """Append the clause columns to ``docs`` (whose text column is "text"), row by row.
+
+    Where the text stands ``inside`` another column, a struct, only that is sent to Python and back.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = [c for c in docs.columns if not (inside and c == "text")]
+
+    def text_of(batch: pa.RecordBatch) -> pa.Array:
+        return pc.fill_null(batch.column(inside).field("text").cast(pa.string()), "") if inside else batch.column("text")
 
     def more(part: pa.RecordBatch) -> Lexicon | None:
         if rest_is_none:
@@ -405,7 +415,7 @@ def _apply(docs: DataFrame, model: Model, rest: DataFrame | None, columns: str)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            parts = [sent.value.clause_scores(s, more(batch.slice(s.first, s.rows))) for s in slices(batch.column("text"))]
+            parts = [sent.value.clause_scores(s, more(batch.slice(s.first, s.rows))) for s in slices(text_of(batch))]
             if parts:
                 score, matched, n = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
@@ -414,7 +424,8 @@ def _apply(docs: DataFrame, model: Model, rest: DataFrame | None, columns: str)
                 )
 
     rest_is_none = rest is None
-    return (docs if rest_is_none else _with_rest(docs, rest)).mapInArrow(run, f"{columns}, {_SCORES}")
+    whole = docs if rest_is_none else _with_rest(docs, rest)
+    return (whole.drop("text") if inside else whole).mapInArrow(run, f"{columns}, {_SCORES}")
 
 
 #: The curve without labels, and what few labels are drawn to: intercept, clause score, log of words.
@@ -444,9 +455,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
 
 def fit(
     documents: DataFrame, labels: DataFrame, fit_rows: int = 50_000, least_pos: int = 6, least_weight: float = 3.3,
-    max_broadcast: int = MAX_BROADCAST,
+    max_broadcast: int = MAX_BROADCAST, most_words: int = 4, highest: float = HIGHEST,
 ) -> tuple[Model, DataFrame | None, np.ndarray]:
-    """Learn lexicon (with what is joined of it) and curve from labelled rows whose fold is not 2."""
+    """Learn lexicon (with what is joined of it) and curve from labelled rows whose fold is not 2.
+
+    ``fit_rows`` bounds the rows that the curve is fitted on, ``least_pos`` and ``least_weight`` are the lexicon's
+    bars, ``max_broadcast`` entries are broadcast. A document counts for a word beginning by the distinct words in
+    it that share it, up to ``most_words``; clause scores above ``highest`` count as that in the curve, so that
+    one very long or foul text doesn't bend it.
+    """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 2)
@@ -460,8 +478,9 @@ def fit(
 
     some = rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, text string")
     labelled = some.join(marks.hint("merge"), "doc_id").withColumn("fold", fold().cast("int"))
-    labelled = materialize(labelled.select("doc_id", "text", "toxic", "fold"), "toxicity-labelled")
-    counts = materialize(_feature_counts(labelled), "toxicity-features")
+    scratch = Scratch(documents.sparkSession, "toxicity")
+    labelled = scratch.save(labelled.select("doc_id", "text", "toxic", "fold"), "labelled")
+    counts = scratch.save(_feature_counts(labelled, most_words), "features")
     is_pos = F.col("toxic") == 1
     late = F.col("fold") == 1
     totals = labelled.agg(
@@ -472,19 +491,20 @@ def fit(
     sample = labelled.filter(late).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     seen = _apply(sample.select("toxic", "text"), Model(lexicon), rest, "toxic int, text string").select("toxic", "clause_score", "n_words").toPandas()
     if len(seen) and 0 < seen["toxic"].sum() < len(seen):
-        curve = _logistic(_inputs(seen["clause_score"].to_numpy(), seen["n_words"].to_numpy()), seen["toxic"].to_numpy().astype(float))
+        curve = _logistic(_inputs(seen["clause_score"].to_numpy(), seen["n_words"].to_numpy(), highest), seen["toxic"].to_numpy().astype(float))
     else:
         curve = DEFAULT_CURVE
     lexicon, rest = _lexicon(counts, totals, False, least_pos, least_weight, max_broadcast)
+    scratch.drop("labelled", "features")  # what is joined of the lexicon is a table of its own
     return Model(lexicon), rest, curve
 
 
-def _inputs(score: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    return np.column_stack((np.minimum(score, 30.0), np.log1p(n_words) - 5.0))
+def _inputs(score: np.ndarray, n_words: np.ndarray, highest: float) -> np.ndarray:
+    return np.column_stack((np.minimum(score, highest), np.log1p(n_words) - 5.0))
 
 
-def probability(curve: np.ndarray) -> Column:
-    z = F.lit(float(curve[0])) + F.lit(float(curve[1])) * F.least("clause_score", F.lit(30.0)) + F.lit(float(curve[2])) * (F.log1p("n_words") - 5.0)
+def probability(curve: np.ndarray, highest: float = HIGHEST) -> Column:
+    z = F.lit(float(curve[0])) + F.lit(float(curve[1])) * F.least("clause_score", F.lit(highest)) + F.lit(float(curve[2])) * (F.log1p("n_words") - 5.0)
     return 1.0 / (1.0 + F.exp(-z))
 
 
@@ -498,7 +518,8 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **set
     """
     model, rest, curve = fit(documents, labels, **settings)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = _apply(docs, model, rest, "doc_id long, text string").drop("text").withColumn("score", probability(curve))
+    curved = probability(curve, settings.get("highest", HIGHEST))
+    scored = _apply(docs, model, rest, "doc_id long, text string").drop("text").withColumn("score", curved)
     return scored.select(
         "doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
         "clause_score", "clauses", "n_words",
@@ -510,6 +531,6 @@ def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.3,
     model, rest, curve = fit(documents, labels, **settings)
     wrapped = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     inner = wrapped.schema["row"].dataType.simpleString()
-    scored = _apply(wrapped, model, rest, f"row {inner}, text string")
-    kept = scored.filter(probability(curve) < threshold)
+    scored = _apply(wrapped, model, rest, f"row {inner}", inside="row")
+    kept = scored.filter(probability(curve, settings.get("highest", HIGHEST)) < threshold)
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))

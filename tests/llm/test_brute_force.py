@@ -405,7 +405,10 @@ def test_pipeline_stages(spark):
     for name, stage in c.STAGES:
         after = stage(spark, before, SMALL)
         if name == "packing":
-            assert after.count() and set(after.columns) >= {"doc_id", "sequence_id", "offset"}
+            pieces = after.toPandas()
+            filled = pieces.groupby("sequence_id").agg(length=("length", "sum"), offset=("offset", "max"), pieces=("length", "size"))
+            assert filled["length"].max() <= 2048 and pieces.groupby("sequence_id").apply(lambda g: g.sort_values("offset").eval("offset + length").iloc[-1] == g["length"].sum(), include_groups=False).all()
+            assert pieces["length"].sum() == pieces[pieces["start"] == 0]["doc_tokens"].sum() and (pieces["start"] == 0).sum() == before.count()
             continue
         assert after.columns == docs.columns
         if name == "toxicity":
@@ -414,4 +417,8 @@ def test_pipeline_stages(spark):
         if name == "near_duplicates":
             groups = parity_join.near_duplicates(before, 5, 80).toPandas()
             assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted(groups.component_id.unique())
-        before = c.materialize(after, name)
+        if name == "source_mix":
+            plan = mixing.mix_plan(before).groupBy("source").agg({"taken": "sum", "target": "max"}).toPandas().set_index("source")
+            words = after.toPandas().assign(words=lambda d: d["text"].map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))).groupby("source")["words"].sum()
+            assert (words == plan["sum(taken)"]).all() and (abs(words - plan["max(target)"]) <= 1).all()
+        before = materialize(after, name)

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline as c
+from apchecks.llm.common import materialize
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h long, row struct<a:int>, row_key int"
@@ -23,13 +24,15 @@ def test_stages_on_odd_rows(spark, rows):
         after = stage(spark, docs, SMALL)
         if name != "packing":
             assert after.columns == docs.columns
-            after = c.materialize(after, f"edge-{name}")
+            after = materialize(after, f"edge-{name}")
         counts[name] = after.collect()
         docs = after
     assert sorted(map(str, counts["toxicity"])) == sorted(map(str, map(tuple_row, rows, [spark] * len(rows))))
     kept = counts["near_duplicates"]
     assert len(kept) == len(rows) - 1  # one of the two equal texts goes; texts without words all stay
     assert sum(r["text"] == "same text in two rows" for r in kept) == 1 and min(r["doc_id"] for r in kept if r["text"] == "same text in two rows") == 5
+    wordless = lambda rows: sorted(str(r["doc_id"]) for r in rows if not (r["text"] or "").split())
+    assert wordless(counts["source_mix"]) == wordless(kept) and len(wordless(kept)) == 5  # each comes once
     pieces = counts["packing"]
     tokens = {}
     for r in pieces:
