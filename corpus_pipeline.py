@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apchecks.llm import mixing, packing, parity_join, toxicity
-from apchecks.llm.common import materialize
+from apchecks.llm.common import Scratch
 from apchecks.llm.queries import table, tokenizer_path
 
 
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated and cut as the mix takes them; n_chars follows the text.
 
-    Null and wordless texts have size 0 and come once; rows without a source form the last source; rows
+    Null and wordless texts have size 0 and come once for each of their rows; rows without a source form the last source; rows
     alike in id, source and size are told apart by a hash of the whole row, so that ties and repeats are
     settled alike in every run; a text is cut once per source at most; an empty table gives no rows.
     """
@@ -68,9 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of ``documents``; a stage's table is removed when the next one's is written."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = scratch.save(docs, name)
+            scratch.drop(*(before for before, _ in STAGES[:i]))
     return docs
