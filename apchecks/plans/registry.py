@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, decisions, evidence_queries, extra, operations_queries, review_queries
+from . import checks, decisions, evidence_queries, extra, interpret_queries, operations_queries, recheck_queries, review_queries
 
 
 def merged(*parts: dict) -> dict:
@@ -16,6 +16,6 @@ def merged(*parts: dict) -> dict:
     return out
 
 
-_PARTS = (checks, decisions, operations_queries, extra, review_queries, evidence_queries)
+_PARTS = (checks, decisions, operations_queries, extra, review_queries, evidence_queries, interpret_queries, recheck_queries)
 QUERIES = merged(*(p.QUERIES for p in _PARTS))
 ORACLES = merged(*(p.ORACLES for p in _PARTS))

@@ -86,11 +86,16 @@ def running_billing(invoices: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(step, _BILLED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def spend_source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """The table of calls as a stream of files."""
+def file_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    """A table as a stream of files."""
     path = f"{folder}/{name}.parquet"
     # As a pattern, since a stream's plain path has to be a folder and a table may be one file.
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{name}.parque[t]")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+def spend_source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    """The table of calls as a stream of files."""
+    events = file_stream(spark, folder, name)
     cents = F.round(F.col("value") * 100).cast("long")
     return events.select(
         F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("tenant_id"), F.col("ts").cast("timestamp").alias("created_at"),
