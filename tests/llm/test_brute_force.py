@@ -419,7 +419,7 @@ def test_pipeline_stages(spark):
             groups = parity_join.near_duplicates(before, 5, 80).toPandas()
             assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted(groups.component_id.unique())
         if name == "source_mix":
-            plan = mixing.mix_plan(before).groupBy("source").agg({"taken": "sum", "target": "max"}).toPandas().set_index("source")
+            plan = mixing.mix_plan(before).groupBy("source").agg({"taken": "sum", "target": "max"}).toPandas().set_index("source").sort_index()
             words = after.toPandas().assign(words=lambda d: d["text"].map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))).groupby("source")["words"].sum()
             assert (words == plan["sum(taken)"]).all() and (abs(words - plan["max(target)"]) <= 1).all()
         before = materialize(after, name)
