@@ -118,3 +118,10 @@ def test_line_pairs(spark):
     got = {(r["invoice_id"], r["line_no"], r["po_line_id"], r["method"]) for r in matching.pair_lines(left, right).collect()}
     assert got == want
     assert {w[3] for w in want} == {"sku", "description", "amount"}
+
+
+def test_variants_are_never_broadcast(spark):
+    """A text has hundreds of variants, which the optimizer's size of a side doesn't count."""
+    rows = spark.createDataFrame([("t", "INV001234567"), ("t", "INV001234568")], "tenant_id string, number string")
+    plan = near_numbers(rows, rows, ["tenant_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
