@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 
 from apchecks.operators import duplicates, matching
-from apchecks.operators.near_numbers import near_numbers
+from apchecks.operators.near_numbers import near_numbers, useful_deletions
 
 from . import brute
 
@@ -125,3 +125,28 @@ def test_variants_are_never_broadcast(spark):
     rows = spark.createDataFrame([("t", "INV001234567"), ("t", "INV001234568")], "tenant_id string, number string")
     plan = near_numbers(rows, rows, ["tenant_id"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("least", [85, 72])
+def test_near_numbers_of_one_head(spark, least):
+    rng = random.Random(least)
+    keys = sorted({f"{'INV' if least == 85 else ''}{rng.choice(['', '', '0', '00'])}{''.join(rng.choice('012') for _ in range(rng.choice([1, 4, 7, 7, 12])))}" for _ in range(120)})
+    df = spark.createDataFrame([("t", k) for k in keys], "t string, number string")
+    got = {(r["a"], r["b"]): round(r["similarity"], 9) for r in near_numbers(df, df, ["t"], least).collect()}
+    assert got == {(a, b): round(s, 9) for a in keys for b in keys if (s := brute.similarity(a, b)) >= least}
+
+
+def test_few_variants():
+    """A number with two leading zeros meets one without them by its canonical form, not by all ways to delete two characters."""
+    assert useful_deletions({("key", "z", 12)}, {("key", "z", 12), ("key", "n", 10)}, 85) == {("key", "z", 12): 1}
+    assert useful_deletions({("key", "", 12)}, {("key", "", 10)}, 85) == {("key", "", 12): 2}
+
+
+def test_names_compared_by_edit_distance(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9))).strip() or "a" for _ in range(40)]
+    rows = [(a, b) for a in names for b in names]
+    got = spark.createDataFrame(rows, "x string, y string").select(duplicates.could_be_one("x", "y").alias("v")).collect()
+    ordered = lambda t: " ".join(sorted(t.split(" ")))
+    want = [200 * brute.common(ordered(a), ordered(b)) >= 60 * (len(a) + len(b)) for a, b in rows]
+    assert [r["v"] for r in got] == want
