@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .tokens import GROUP_TEXTS, encoder
+from .tokens import CACHE_CUTS, GROUP_TEXTS, encoder, give_back
 
+#: Rows of a batch that a task gives out: at most 2 MB of ids where a sequence has 2048, which Python and the JVM each hold.
+BATCH_ROWS = 256
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -97,14 +99,15 @@ def pack_documents(documents: Iterable[tuple[object, bytes]], size: int) -> Iter
                     slot, used = slot + 1, 0
 
 
-def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, cache_cuts: int = CACHE_CUTS) -> DataFrame:
     """Pack ``documents`` (doc_id, text) into sequences of at most ``size`` ids.
 
     Returns a row per piece: doc_id, start (its document's ids before it), length, ids (binary,
     little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. Every id lies in exactly one
     piece; a sequence's offsets have no gaps. A null text has the end id alone; null ids and repeated
     rows are packed like others; an empty table gives no rows; other columns are ignored. Tasks pack
-    their own input, so a lost task is packed again to the same result from the same split.
+    their own input, so a lost task is packed again to the same result from the same split. A worker remembers the ids
+    of up to two times ``cache_cuts`` cuts of texts, which changes its memory and time, not the result.
     """
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -112,7 +115,8 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 204
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        enc = encoder(tokenizer_path)
+        give_back()
+        enc = encoder(tokenizer_path, cache_cuts)
 
         def documents_of_task() -> Iterator[tuple[object, bytes]]:
             for batch in batches:
@@ -141,7 +145,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, size: int = 204
 
         for piece in pack_documents(documents_of_task(), size):
             out.append(piece)
-            if len(out) == 2048:
+            if len(out) == BATCH_ROWS:
                 yield batch_of(out)
                 out = []
         if out:

@@ -10,12 +10,15 @@ model alone, many in one text; every other cut is encoded whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: Cuts kept in a generation of a worker's memory; it holds two generations, the younger in use.
 CACHE_CUTS = 500_000
@@ -38,7 +41,8 @@ _LINES = re.compile(r"\n+")
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_cuts: int = CACHE_CUTS):
+        self.cache_cuts = cache_cuts
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -163,24 +167,34 @@ class Encoder:
             for c in fresh:
                 if len(c) > CACHE_CHARS:
                     del young[c]
-            if len(young) > CACHE_CUTS:
+            if len(young) > self.cache_cuts:
                 self.old, self.young = young, {}
-            if len(self.bare) > CACHE_CUTS // 4:
+            if len(self.bare) > self.cache_cuts // 4:
                 self.bare = {"": b""}
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_cuts: int = CACHE_CUTS) -> Encoder:
     """The encoder of a vocabulary file, made once in each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, cache_cuts
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(path, cache_cuts)
+    return _ENCODERS[key]
 
 
 def release() -> None:
     """Forget the encoders of this worker process. Other operators' tasks call it, since Spark's workers
     live on between stages and would hold an encoder's memory all that time."""
     _ENCODERS.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker process have freed and its allocators still hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -13,6 +13,9 @@ from apchecks.llm import mixing, packing, parity_join, toxicity
 from apchecks.llm.common import Scratch
 from apchecks.llm.queries import table, tokenizer_path
 
+#: Cuts that a packing worker remembers: fewer than op4's, since the executor's heap is grown by the stages before.
+CACHE_CUTS = 60_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text's toxicity score is below 0.3, with all their columns.
@@ -51,7 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end id alone; rows without an id and repeated rows are packed like others;
     texts longer than a sequence are cut; an empty table gives no rows.
     """
-    return packing.pack(docs, tokenizer_path(), end_id=1).select(
+    return packing.pack(docs, tokenizer_path(), end_id=1, cache_cuts=CACHE_CUTS).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
