@@ -202,14 +202,18 @@ def mix(documents: DataFrame, **settings) -> DataFrame:
     per_document = plan.groupBy("doc_id", "source", "size", "row_hash").agg(F.sum("copies").alias("n_copies"), F.max("cut").alias("n_cut"))
     per_document = per_document.filter("n_copies > 0 or n_cut > 0")
     columns = documents.columns
+    # Rows are shuffled once: alike ones are dropped by the same columns, none of them null, that the plan is joined on.
+    key = lambda id_, source: {"no_id": id_.isNull(), "id": F.coalesce(id_, F.lit(0)), "no_src": source.isNull(), "src": F.coalesce(source, F.lit(""))}
     wrapped = documents.select(F.struct("*").alias("row"), row_hash.alias("hash"))
-    left = wrapped.select("row", "hash", F.col("row.doc_id").cast("long").alias("id"), F.col("row.source").cast("string").alias("src"), word_count(F.col("row.text")).alias("words"))
-    left = left.dropDuplicates(["id", "src", "words", "hash"])
-    same = left["id"].eqNullSafe(per_document["doc_id"]) & left["src"].eqNullSafe(per_document["source"]) & (left["words"] == per_document["size"])
-    joined = left.join(per_document, same & (left["hash"] == per_document["row_hash"]))
-    copies = joined.filter("n_copies > 0").select(F.explode(F.array_repeat("row", F.col("n_copies").cast("int"))).alias("row"))
-    cut = joined.filter("n_cut > 0").select(F.col("row").withField("text", F.expr(_first_words_sql())).alias("row"))
-    return copies.unionByName(cut).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+    left = wrapped.withColumns(key(F.col("row.doc_id").cast("long"), F.col("row.source").cast("string")) | {"words": word_count(F.col("row.text"))})
+    right = per_document.select(
+        *(c.alias(n) for n, c in key(F.col("doc_id"), F.col("source")).items()), F.col("size").alias("words"), F.col("row_hash").alias("hash"), "n_copies", "n_cut"
+    )
+    same = ["no_id", "id", "no_src", "src", "words", "hash"]
+    joined = left.dropDuplicates(same).join(right, same)
+    first = F.col("row").withField("text", F.expr(_first_words_sql()))
+    rows = F.concat(F.array_repeat("row", F.col("n_copies").cast("int")), F.when(F.col("n_cut") > 0, F.array(first)).otherwise(F.array_repeat("row", F.lit(0))))
+    return joined.select(F.explode(rows).alias("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
 def _first_words_sql() -> str:
