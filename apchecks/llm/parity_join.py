@@ -46,6 +46,8 @@ from .textops import distinct_per_row, mix64, shingle_hashes, slices, word_hashe
 from .tokens import release
 
 SKETCH_LONGS = 4
+#: Words of the sketch that members of mixed buckets are tested by, which still tells large sets apart.
+WIDE_LONGS = 24
 #: Sets up to this size have their shingles as blocks, joined in one band.
 SMALL_SET = 32
 #: Documents of the fixed sample that finds hot buckets, and the count there that makes a bucket hot.
@@ -120,15 +122,15 @@ def _entries_of(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nd
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _parity(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 256-bit parity sketch of each row, as rows of four 64-bit words."""
+def _parity(values: np.ndarray, at: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
+    """The parity sketch of each row, as rows of ``longs`` 64-bit words."""
     rows = len(at) - 1
     owner = np.repeat(np.arange(rows), np.diff(at))
     bit = mix64(values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
-    out = np.zeros(rows * SKETCH_LONGS, dtype=np.uint64)
-    spot = owner * SKETCH_LONGS + ((bit >> np.uint64(6)) % np.uint64(SKETCH_LONGS)).astype(np.int64)
+    out = np.zeros(rows * longs, dtype=np.uint64)
+    spot = owner * longs + ((bit >> np.uint64(6)) % np.uint64(longs)).astype(np.int64)
     np.bitwise_xor.at(out, spot, np.uint64(1) << (bit & np.uint64(63)))
-    return out.reshape(rows, SKETCH_LONGS)
+    return out.reshape(rows, longs)
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -169,6 +171,24 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"row_key long, doc_id long, n long, k1 long, k2 long, {longs}")
 
 
+def _wide(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Of the rows with key ``ids`` the wide sketch (id, w0..)."""
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(ids))
+    names = [f"w{i}" for i in range(WIDE_LONGS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(hits(batch.column("h"), sent.value)))
+            for first, rows, v, at in _sets(part.column("text"), k):
+                wide = _parity(v, at, WIDE_LONGS)
+                key = part.column("row_key").slice(first, rows)
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(WIDE_LONGS))], names=["id", *names])
+
+    rows = docs.select("row_key", "text", F.xxhash64("row_key").alias("h"))
+    # Rows of one key are equal in id and text, so any of them will do.
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["id"])
+
+
 def _hot_buckets(docs: DataFrame, rows: int, k: int, percent: int) -> np.ndarray:
     """Buckets that hold a large part of a sample of at most about ``HOT_SAMPLE`` documents, sorted.
 
@@ -239,9 +259,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch:
     return both.filter(100 * common >= percent * union).select("a", "b")
 
 
-def _distance() -> Column:
+def _distance(x: str = "s", y: str = "t", longs: int = SKETCH_LONGS) -> Column:
     """Hamming distance of the sketches s0.. and t0.. of a pair."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH_LONGS)])
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(longs)])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -252,7 +272,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _may_link(percent: int) -> Column:
     """Size and Hamming tests between columns n, s0.. and m, t0.. of a pair."""
     sizes = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return sizes & (_distance() * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    return sizes & _near(_distance(), percent)
+
+
+def _near(distance: Column, percent: int) -> Column:
+    """Whether a distance of sketches is none that linked sets of sizes n and m can't have."""
+    return distance * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -287,18 +312,20 @@ def _across(members: DataFrame, pivots: int | None, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a bucket and of different components that pass the size and Hamming tests.
 
     With ``pivots``, all members are held against that many of the bucket; else members outside the
-    bucket's home against all. What fails the tests never leaves the join.
+    bucket's home against all, and by the wide sketch too. What fails the tests never leaves the join.
     """
     y = members.drop("home")
     if pivots:
         y = y.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).filter(F.col("place") <= pivots).drop("place")
     y = y.withColumnsRenamed({"id": "y", "n": "m", "root": "y_root"} | {f"s{i}": f"t{i}" for i in range(SKETCH_LONGS)})
+    y = y.withColumnsRenamed({f"w{i}": f"v{i}" for i in range(WIDE_LONGS)})
     x = members if pivots else members.filter("root <> home")
     # The members of a large bucket meet the other side in parts.
     x = x.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     once = F.lit(True) if pivots else (F.col("y_root") == F.col("home")) | (F.col("id") < F.col("y"))
-    return _ordered(x.join(y, ["bucket", "part"]).filter((F.col("root") != F.col("y_root")) & once & _may_link(percent)))
+    may_link = _may_link(percent) if pivots else _may_link(percent) & _near(_distance("w", "v", WIDE_LONGS), percent)
+    return _ordered(x.join(y, ["bucket", "part"]).filter((F.col("root") != F.col("y_root")) & once & may_link))
 
 
 def _edges(roots: DataFrame) -> DataFrame:
@@ -341,10 +368,14 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, per
         members = scratch.save(_mixed(members, roots, classes, 3 if pivots else MORE_PIVOTS + 1), "mixed")
         if members.isEmpty():
             break
+        if not pivots:
+            # The 256 bits let all pairs of large sets pass, so that the whole of a bucket is tested by a wider sketch.
+            ids = members.select("id").distinct()
+            members = members.join(scratch.save(_wide(docs, ids, k).join(ids, "id", "left_semi"), "wide"), "id")
         pairs = _across(members, pivots, percent).join(tested, ["a", "b"], "left_anti")
         roots = components(_edges(roots).unionByName(_verified(docs, pairs, k, percent, scratch)), scratch)
         tested = scratch.save(tested.unionByName(pairs), "tested") if pivots else tested
-    scratch.drop("members", "mixed", "pairs", "sets", "tested")
+    scratch.drop("members", "mixed", "wide", "pairs", "sets", "tested")
     return roots
 
 
