@@ -4,9 +4,11 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from apchecks.operators import duplicates, matching
-from apchecks.operators.near_numbers import near_numbers, useful_deletions
+from apchecks.operators.keyfilter import keys_of, perhaps_among, shared_keys
+from apchecks.operators.near_numbers import Numbers, near_numbers, useful_deletions, with_like
 
 from . import brute
 
@@ -150,3 +152,32 @@ def test_names_compared_by_edit_distance(spark):
     ordered = lambda t: " ".join(sorted(t.split(" ")))
     want = [200 * brute.common(ordered(a), ordered(b)) >= 60 * (len(a) + len(b)) for a, b in rows]
     assert [r["v"] for r in got] == want
+
+
+def test_digits_need_one_form():
+    """Numbers without leading zeros, or with equally many, are found by their canonical forms alone."""
+    shapes = {("key", "n", 10), ("key", "z2", 12), ("canonical", "", 10)}
+    assert useful_deletions(shapes, shapes, 85) == {("canonical", "", 10): 1}
+    assert useful_deletions({("key", "z2", 7)}, {("key", "z2", 7)}, 85) == {("key", "z2", 7): 1}
+
+
+@pytest.mark.parametrize("least", [85, 0])
+def test_one_hit_is_enough(spark, least):
+    """Like numbers of many invoices make no pairs: a row comes at most once per variant of its number."""
+    new = spark.range(200).select(F.lit("t").alias("t"), F.lit("INV1234567").alias("number"), F.col("id").alias("k"))
+    old = spark.range(200).select(F.lit("t").alias("t"), F.concat(F.lit("INV123456"), (F.col("id") % 10).cast("string")).alias("number"), (F.col("id") - 100).alias("o"))
+    found = with_like(Numbers(new, old, least), new, old, ["t"], F.col("o") > F.col("k"))
+    assert found.count() <= 8 * 99
+    assert sorted(r["k"] for r in found.distinct().collect()) == list(range(99))
+
+
+def test_rows_are_filtered_before_they_are_shuffled(spark):
+    """A semi-join of the filter, above which the other one stays."""
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"))
+    some = rows.filter("k % 100 = 0")
+    assert {r["k"] for r in perhaps_among(rows, keys_of(some, ["k"]), ["k"]).collect()} == set(range(0, 1000, 100))
+    twice = rows.unionByName(some)
+    assert {r["k"] for r in perhaps_among(rows, shared_keys(twice, ["k"]), ["k"]).collect()} == set(range(0, 1000, 100))
+    joined = perhaps_among(rows, keys_of(some, ["k"]), ["k"]).hint("merge").join(some.select(F.col("k").alias("o")).hint("merge"), F.col("k") == F.col("o"), "left_semi")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("(k#") < plan.index("at_row")
