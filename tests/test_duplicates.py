@@ -181,3 +181,13 @@ def test_rows_are_filtered_before_they_are_shuffled(spark):
     joined = perhaps_among(rows, keys_of(some, ["k"]), ["k"]).hint("merge").join(some.select(F.col("k").alias("o")).hint("merge"), F.col("k") == F.col("o"), "left_semi")
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("(k#") < plan.index("at_row")
+
+
+def test_pairs_by_sku_are_made_once(spark):
+    """They are read three times, and the plan holds no second or third copy of how they were made."""
+    left = spark.createDataFrame([(1, 1, 1, "A-1", "Blue widget", 100), (1, 1, 2, None, "Red widget", 100)], "invoice_id long, matched_po_id long, line_no long, sku string, description string, amount_minor long")
+    right = spark.createDataFrame([(1, 10, 1, "A1", "Blue widget", 1, 100), (1, 11, 2, None, "red Widget", 1, 100)], "po_id long, po_line_id long, line_no long, sku string, description string, qty long, unit_price_minor long")
+    for of in (matching.pair_lines, matching.paired_keys):
+        pairs = of(left, right)
+        assert {(r["line_no"], r["po_line_id"], r["method"]) for r in pairs.collect()} == {(1, 10, "sku"), (2, 11, "description")}
+        assert "Window" not in pairs._jdf.queryExecution().executedPlan().toString()
