@@ -88,7 +88,7 @@ def _most_alike(i: DataFrame, who: list[str], window_days: int, similarity_min:
     many invoices of one total make pairs only where their numbers are alike.
     """
     rows, scope = _comparable(i, who)
-    rows = rows.withColumn("at", F.struct(*ORDER)).drop("created_at")
+    rows = written(rows.withColumn("at", F.struct(*ORDER)).drop("created_at"), "duplicates-soft")  # read many times over
     pairs = near_numbers(rows.filter("new"), rows.filter("old"), scope, similarity_min, rows)
     later = rows.filter("new").withColumnRenamed("number", "a")
     old = rows.filter("old").select(*scope, F.col("number").alias("b"), F.col("canonical").alias("o_canonical"), F.col("at").alias("o_at"), F.col("invoice_date").alias("o_date"))
